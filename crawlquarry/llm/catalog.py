@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from crawlquarry.llm import repeated_lines
+from pyspark.sql import functions as F
+
+from crawlquarry.llm import near_duplicates, repeated_lines
 from crawlquarry.session import table
 
+#: Three words and 0.6 as TESTDATA states; 60 bands of 6 rows find a pair at 0.65 with a probability over 0.99.
+P4 = near_duplicates.Settings(width=3, threshold=0.6, min_words=50, bands=60, rows=6)
+
 
 def p1_found(spark, d):
     return repeated_lines.repeated_lines(table(spark, d, "pages"), table(spark, d, "page_content")).select("url_hash", "line_no")
@@ -14,6 +19,19 @@ def p1_clean(spark, d):
     return repeated_lines.without_repeated_lines(table(spark, d, "pages"), table(spark, d, "page_content"))
 
 
+def _p4(spark, d):
+    texts = table(spark, d, "page_content").select(F.col("url_hash").alias("key"), F.col("content").alias("text"))
+    return near_duplicates.near_duplicates(texts, P4)
+
+
+def p4_found(spark, d):
+    return near_duplicates.key_pairs(_p4(spark, d)).select(F.col("key_a").alias("url_hash_a"), F.col("key_b").alias("url_hash_b"))
+
+
+def p4_groups(spark, d):
+    return near_duplicates.duplicate_groups(_p4(spark, d)).withColumnRenamed("key", "url_hash")
+
+
 _P1_LINES = r"""
 WITH h AS (SELECT url_hash, min(lower(host)) AS host FROM pages GROUP BY url_hash),
 d AS (SELECT c.url_hash, h.host, c.content FROM page_content c JOIN h ON h.url_hash = c.url_hash),
@@ -35,7 +53,7 @@ _SQL = {
     FROM page_content c LEFT JOIN kept ON kept.url_hash = c.url_hash LEFT JOIN r ON r.url_hash = c.url_hash""",
 }
 
-_QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups)}
 
 
 def queries():
