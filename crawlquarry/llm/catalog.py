@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import near_duplicates, repeated_lines
+from crawlquarry.llm import leaks, near_duplicates, repeated_lines, tokens
 from crawlquarry.session import table
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Three words and 0.6 as TESTDATA states; 60 bands of 6 rows find a pair at 0.65 with a probability over 0.99.
 P4 = near_duplicates.Settings(width=3, threshold=0.6, min_words=50, bands=60, rows=6)
 
@@ -32,6 +33,18 @@ def p4_groups(spark, d):
     return near_duplicates.duplicate_groups(_p4(spark, d)).withColumnRenamed("key", "url_hash")
 
 
+def p8_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"), VOCABULARY)
+
+
+def p9_found(spark, d):
+    return p9_passages(spark, d).where("run >= 12").select("doc_id", "item_id")
+
+
+def p9_passages(spark, d):
+    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 _P1_LINES = r"""
 WITH h AS (SELECT url_hash, min(lower(host)) AS host FROM pages GROUP BY url_hash),
 d AS (SELECT c.url_hash, h.host, c.content FROM page_content c JOIN h ON h.url_hash = c.url_hash),
@@ -53,7 +66,7 @@ _SQL = {
     FROM page_content c LEFT JOIN kept ON kept.url_hash = c.url_hash LEFT JOIN r ON r.url_hash = c.url_hash""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p8_ids, p9_found, p9_passages)}
 
 
 def queries():

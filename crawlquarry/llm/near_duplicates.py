@@ -5,10 +5,11 @@ where every shingle walks the slots in its own permutation and ranks them 0, 1,
 All shingles of a batch take their step ``j`` together; a text stops as soon as all its
 slots lie below ``j + 1``, since later steps can't lower any of them.
 
-Equal word sequences are collapsed to one class first, so a text copied over a third of
-the corpus is signed, banded and compared once. Classes that share a band are compared
-block by block on one-byte sketches of their signatures; only pairs that pass go on to
-exact verification on their whole shingle sets.
+Texts of equal word sequences form one class. A task hands on the bands of a class once,
+so that a text copied over a third of the corpus meets the shuffle as one row a task at
+most. Classes that share a band are compared block by block on sketches (one byte of some
+signature slots); only pairs that pass go on to exact verification on their whole shingle
+sets. A class is named by 64 bits of a hash of its words.
 
 Defined results: null or empty texts and texts under ``min_words`` words take no part;
 repeated rows of a key count once; keys with equal text are pairs of similarity 1; no
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlquarry.llm.words import WordHashes, mix, shingles, unique_by_owner
-from crawlquarry.session import materialize, spread
+from crawlquarry.session import broadcast_if_small, materialize, shuffle_width, spread
 
 _RANDOM_BITS = 22
 
@@ -43,6 +44,7 @@ class Settings:
     bands: int = 20
     rows: int = 8
     block: int = 128
+    sketch: int = 96
 
     @property
     def slots(self) -> int:
@@ -50,8 +52,8 @@ class Settings:
 
     def sketch_matches(self) -> int:
         """Equal sketch bytes that a pair at the threshold misses with a probability under 1e-6 (5 sigma)."""
-        p = self.threshold + (1 - self.threshold) / 256
-        return max(1, int(self.slots * p - 5 * (self.slots * p * (1 - p)) ** 0.5))
+        n, p = min(self.sketch, self.slots), self.threshold + (1 - self.threshold) / 256
+        return max(1, int(n * p - 5 * (n * p * (1 - p)) ** 0.5))
 
 
 def superminhash(values: np.ndarray, owner: np.ndarray, texts: int, slots: int) -> np.ndarray:
@@ -91,10 +93,10 @@ def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signer(s: Settings, chunk: int = 128):
-    schema = pa.schema([("key", pa.string()), ("class_hi", pa.int64()), ("class_lo", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.string()), ("id", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, seen = WordHashes(), set()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for at in range(0, len(texts), chunk):
@@ -103,26 +105,26 @@ def _signer(s: Settings, chunk: int = 128):
                 take = np.flatnonzero(counts >= max(s.min_words, s.width))
                 if not len(take):
                     continue
-                # The class of a text is a 128-bit hash of its shingle sequence, i.e. of its words.
                 with np.errstate(over="ignore"):
-                    starts = np.searchsorted(o, np.arange(len(part)))
-                    place = (np.arange(len(v)) - starts[o]).astype(np.uint64) if len(v) else np.empty(0, np.uint64)
-                    parts = [np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)]
-                    for n, total in enumerate(parts):
-                        np.add.at(total, o, mix(v + mix(place * np.uint64(2) + np.uint64(n + 1))))
-                uv, uo = unique_by_owner(v, o)
+                    place = (np.arange(len(v)) - np.searchsorted(o, np.arange(len(part)))[o]).astype(np.uint64)
+                    ids = np.zeros(len(part), np.uint64)
+                    np.add.at(ids, o, mix(v + mix(place)))
+                    ids = mix(ids).view(np.int64)[take]
+                new = np.array([x not in seen and not seen.add(x) for x in ids.tolist()])
+                first = take[new]
                 index = np.full(len(part), -1)
-                index[take] = np.arange(len(take))
+                index[first] = np.arange(len(first))
+                uv, uo = unique_by_owner(v, o)
                 inside = index[uo] >= 0
-                h = superminhash(uv[inside], index[uo[inside]], len(take), s.slots)
-                sketch = h.astype(np.uint8)
-                bands = band_keys(h, s.bands, s.rows)
+                h = superminhash(uv[inside], index[uo[inside]], len(first), s.slots)
+                step = max(1, s.slots // s.sketch)
+                sketch = iter(h[:, ::step][:, : s.sketch].astype(np.uint8))
+                bands = iter(band_keys(h, s.bands, s.rows))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(at, len(part)).take(pa.array(take)).cast(pa.string()),
-                        pa.array(parts[0][take].view(np.int64)), pa.array(parts[1][take].view(np.int64)),
-                        pa.array([x.tobytes() for x in sketch], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, (len(take) + 1) * s.bands, s.bands), pa.int32()), pa.array(bands.reshape(-1))),
+                        keys.slice(at, len(part)).take(pa.array(take)).cast(pa.string()), pa.array(ids),
+                        pa.array([next(sketch).tobytes() if n else None for n in new], pa.binary()),
+                        pa.array([next(bands) if n else None for n in new], pa.list_(pa.int64())),
                     ],
                     schema=schema,
                 )
@@ -131,9 +133,9 @@ def _signer(s: Settings, chunk: int = 128):
 
 
 def signatures(texts: DataFrame, s: Settings) -> DataFrame:
-    """(key, class_hi, class_lo, sketch, bands) of each text that takes part."""
+    """(key, id, sketch, bands) of each text that takes part; the last two are null where the task has given them for the same id."""
     one = texts.where(F.col("key").isNotNull() & F.col("text").isNotNull()).select(F.col("key").cast("string").alias("key"), "text")
-    return spread(one, "key").mapInArrow(_signer(s), "key string, class_hi bigint, class_lo bigint, sketch binary, bands array<bigint>")
+    return spread(one, "key").mapInArrow(_signer(s), "key string, id bigint, sketch binary, bands array<bigint>")
 
 
 def _compare_blocks(s: Settings):
@@ -163,15 +165,21 @@ def _compare_blocks(s: Settings):
     return run
 
 
-def candidate_pairs(classes: DataFrame, s: Settings) -> DataFrame:
+def candidate_pairs(signed: DataFrame, s: Settings) -> DataFrame:
     """(id_a, id_b), id_a < id_b: classes that share a band and whose sketches agree enough."""
-    rows = classes.select("id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.join(shared, "band").join(classes.select("id", "sketch"), "id")
-    blocks = members.withColumn("blocks", F.ceil(F.col("n") / s.block)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    width = shuffle_width(signed.sparkSession)
+    # One exchange serves both the search for shared bands and the join with them.
+    rows = signed.select("id", F.explode("bands").alias("band")).repartition(width, "band")
+    shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("band")
+    members = rows.join(shared, "band").select("band", "id").distinct()
+    sketches = signed.where(F.col("sketch").isNotNull()).select("id", "sketch").dropDuplicates(["id"])
+    members = materialize(members.join(sketches, "id"), "members")
+    size = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > s.block).withColumn("blocks", F.ceil(F.col("n") / s.block)).select("band", "blocks")
+    blocks = members.join(size, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     blocks = blocks.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("id", "sketch")).alias("m"))
     none = F.expr("cast(array() as array<struct<id:bigint,sketch:binary>>)")
-    within = blocks.select(F.lit(True).alias("same"), F.col("m").alias("l"), none.alias("r"))
+    within = blocks.where(F.size("m") > 1).select(F.lit(True).alias("same"), F.col("m").alias("l"), none.alias("r"))
     large = blocks.where("blocks > 1")
     other = large.select("band", F.col("block").alias("block_b"), F.col("m").alias("r"))
     across = large.join(other, "band").where("block < block_b").select(F.lit(False).alias("same"), F.col("m").alias("l"), "r")
@@ -211,25 +219,27 @@ class NearDuplicates:
     pairs: DataFrame
 
 
-def near_duplicates(texts: DataFrame, s: Settings = Settings()) -> NearDuplicates:
-    """Classes of equal texts and the verified pairs between classes of ``texts`` (key, text)."""
+def near_duplicates(texts: DataFrame, s: Settings = Settings(), small: int = 200_000) -> NearDuplicates:
+    """Classes of equal texts and the verified pairs between classes of ``texts`` (key, text).
+
+    The texts to verify are fetched by a broadcast of their keys if these are counted to be
+    at most ``small``, else by a shuffle.
+    """
     signed = materialize(signatures(texts, s), "signatures")
-    members = signed.select("key", "class_hi", "class_lo").distinct()
-    representative = members.groupBy("class_hi", "class_lo").agg(F.min("key").alias("rep"))
-    classes = signed.join(representative, ["class_hi", "class_lo"]).where(F.col("key") == F.col("rep"))
-    classes = classes.dropDuplicates(["key"]).select("key", F.xxhash64("key").alias("id"), "sketch", "bands")
-    found = materialize(candidate_pairs(classes, s), "candidates")
+    members = signed.select("key", "id").distinct()
+    found = materialize(candidate_pairs(signed, s), "candidates")
     wanted = found.select(F.col("id_a").alias("id")).union(found.select("id_b")).distinct()
-    bodies = texts.where(F.col("text").isNotNull()).select(F.xxhash64(F.col("key").cast("string")).alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = bodies.mapInArrow(_shingle_sets(s), "id bigint, set binary")
+    bodies = materialize(members.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key")), "wanted")
+    bodies, _ = broadcast_if_small(bodies, small)
+    bodies = texts.where(F.col("text").isNotNull()).select(F.col("key").cast("string").alias("key"), "text").join(bodies, "key").select("id", "text").dropDuplicates(["id"])
+    sets = materialize(bodies.mapInArrow(_shingle_sets(s), "id bigint, set binary"), "sets")
     checked = (
         found.join(sets.select(F.col("id").alias("id_a"), F.col("set").alias("set_a")), "id_a")
         .join(sets.select(F.col("id").alias("id_b"), F.col("set").alias("set_b")), "id_b")
         .select("id_a", "id_b", jaccard("set_a", "set_b").alias("similarity"))
         .where(F.col("similarity") >= s.threshold)
     )
-    of = members.join(representative, ["class_hi", "class_lo"]).select("key", F.xxhash64("rep").alias("id"))
-    return NearDuplicates(of, checked)
+    return NearDuplicates(members, checked)
 
 
 def key_pairs(found: NearDuplicates) -> DataFrame:
