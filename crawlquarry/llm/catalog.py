@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import leaks, near_duplicates, repeated_lines, tokens
+from crawlquarry.llm import leaks, near_duplicates, repeated_lines, residue, stuffing, tokens
 from crawlquarry.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -33,6 +33,22 @@ def p4_groups(spark, d):
     return near_duplicates.duplicate_groups(_p4(spark, d)).withColumnRenamed("key", "url_hash")
 
 
+def p2_found(spark, d):
+    return p2_measures(spark, d).select("url_hash")
+
+
+def p2_measures(spark, d):
+    return stuffing.stuffed_pages(table(spark, d, "page_content"), table(spark, d, "pages"))
+
+
+def p5_found(spark, d):
+    return p5_reasons(spark, d).select("url_hash")
+
+
+def p5_reasons(spark, d):
+    return residue.residue(table(spark, d, "page_content"), table(spark, d, "pages"))
+
+
 def p8_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"), VOCABULARY)
 
@@ -66,7 +82,7 @@ _SQL = {
     FROM page_content c LEFT JOIN kept ON kept.url_hash = c.url_hash LEFT JOIN r ON r.url_hash = c.url_hash""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p8_ids, p9_found, p9_passages)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p2_found, p2_measures, p5_found, p5_reasons, p8_ids, p9_found, p9_passages)}
 
 
 def queries():
