@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import leaks, near_duplicates, repeated_lines, residue, stuffing, tokens
+from crawlquarry.llm import encoding, leaks, near_duplicates, repeated_lines, residue, stuffing, tokens
 from crawlquarry.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -49,6 +49,14 @@ def p5_reasons(spark, d):
     return residue.residue(table(spark, d, "page_content"), table(spark, d, "pages"))
 
 
+def p7_found(spark, d):
+    return p7_restored(spark, d).select("url_hash")
+
+
+def p7_restored(spark, d):
+    return encoding.garbled_pages(table(spark, d, "page_content"))
+
+
 def p8_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"), VOCABULARY)
 
@@ -82,7 +90,7 @@ _SQL = {
     FROM page_content c LEFT JOIN kept ON kept.url_hash = c.url_hash LEFT JOIN r ON r.url_hash = c.url_hash""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p2_found, p2_measures, p5_found, p5_reasons, p8_ids, p9_found, p9_passages)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p2_found, p2_measures, p5_found, p5_reasons, p7_found, p7_restored, p8_ids, p9_found, p9_passages)}
 
 
 def queries():
