@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import encoding, leaks, near_duplicates, repeated_lines, residue, stuffing, tokens
+from crawlquarry.llm import encoding, leaks, near_duplicates, personal, repeated_lines, residue, stuffing, tokens
 from crawlquarry.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -69,6 +69,15 @@ def p9_passages(spark, d):
     return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark, d):
+    return personal.personal_data(table(spark, d, "documents")).select("doc_id", "kind", "matched")
+
+
+def p10_redacted(spark, d):
+    documents = table(spark, d, "documents")
+    return personal.redacted(documents, personal.personal_data(documents))
+
+
 _P1_LINES = r"""
 WITH h AS (SELECT url_hash, min(lower(host)) AS host FROM pages GROUP BY url_hash),
 d AS (SELECT c.url_hash, h.host, c.content FROM page_content c JOIN h ON h.url_hash = c.url_hash),
@@ -90,7 +99,7 @@ _SQL = {
     FROM page_content c LEFT JOIN kept ON kept.url_hash = c.url_hash LEFT JOIN r ON r.url_hash = c.url_hash""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p2_found, p2_measures, p5_found, p5_reasons, p7_found, p7_restored, p8_ids, p9_found, p9_passages)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p2_found, p2_measures, p5_found, p5_reasons, p7_found, p7_restored, p8_ids, p9_found, p9_passages, p10_found, p10_redacted)}
 
 
 def queries():
