@@ -94,7 +94,7 @@ def _around(text: str, a: int, b: int) -> tuple[str, str]:
     return " ".join(left), " ".join(right or ["$", "$"])
 
 
-_SHOUTED = re.compile(r"[A-ZÀ-Þ]{2,}\W*$"), re.compile(r"\W*[A-ZÀ-Þ]{2,}")
+_SHOUTED = re.compile(r"[A-ZÀ-Þ]{2,},? $"), re.compile(r",? [A-ZÀ-Þ]{2,}")
 
 
 def _shouted(text: str, a: int, b: int) -> bool:
