@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import encoding, leaks, near_duplicates, personal, repeated_lines, residue, stuffing, tokens
+from crawlquarry.llm import encoding, leaks, mainbody, near_duplicates, personal, repeated_lines, residue, stuffing, tokens
 from crawlquarry.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -49,6 +49,16 @@ def p5_reasons(spark, d):
     return residue.residue(table(spark, d, "page_content"), table(spark, d, "pages"))
 
 
+def p6_found(spark, d):
+    content, pages = table(spark, d, "page_content"), table(spark, d, "pages")
+    out = stuffing.stuffed_pages(content, pages).select("url_hash").unionByName(residue.residue(content, pages).select("url_hash"))
+    return mainbody.site_lines(content, pages).join(out, "url_hash", "left_anti")
+
+
+def p6_bodies(spark, d):
+    return mainbody.main_bodies(table(spark, d, "page_content"), table(spark, d, "pages"))
+
+
 def p7_found(spark, d):
     return p7_restored(spark, d).select("url_hash")
 
@@ -99,7 +109,7 @@ _SQL = {
     FROM page_content c LEFT JOIN kept ON kept.url_hash = c.url_hash LEFT JOIN r ON r.url_hash = c.url_hash""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p2_found, p2_measures, p5_found, p5_reasons, p7_found, p7_restored, p8_ids, p9_found, p9_passages, p10_found, p10_redacted)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_groups, p2_found, p2_measures, p5_found, p5_reasons, p6_found, p6_bodies, p7_found, p7_restored, p8_ids, p9_found, p9_passages, p10_found, p10_redacted)}
 
 
 def queries():
