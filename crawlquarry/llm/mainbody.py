@@ -88,11 +88,27 @@ def _repaired(line: str) -> list[str]:
     return out
 
 
-def _matches(what: re.Pattern, low: str, line: str, most: int) -> bool:
+def _matches(what: re.Pattern, low: str, line: str) -> bool:
     """Whether a line, or what it was before a wrong decoding, is wholly of a kind. ``low`` is it in lower case with collapsed blanks."""
     if what.fullmatch(low):
         return True
-    return bool(len(line) < most and _STRAY.search(line)) and any(what.fullmatch(_SPACES.sub(" ", t.lower()).strip()) for t in _repaired(line))
+    return bool(not line.isascii() and len(line) < 200 and _STRAY.search(line)) and any(what.fullmatch(_SPACES.sub(" ", t.lower()).strip()) for t in _repaired(line))
+
+
+#: Whether a line is the site's own, or a heading of a list; lines of sites recur, so most are looked up.
+_known: dict[str, tuple[bool, bool]] = {}
+
+
+def _kind(low: str, line: str) -> tuple[bool, bool]:
+    found = _known.get(line)
+    if found is None:
+        chrome = _matches(_CHROME, low, line)
+        found = chrome, not chrome and len(line) < 80 and _matches(_RELATED, low, line)
+        if len(line) < 120:
+            if len(_known) > 200_000:
+                _known.clear()
+            _known[line] = found
+    return found
 
 
 def is_prose(line: str) -> bool:
@@ -123,12 +139,12 @@ def score_lines(content: str, title: str | None) -> list[tuple[int, int, bool]]:
     """(label, line number, sure) of each line that isn't blank."""
     raw = content.split("\n")
     lines = [x.strip() for x in raw]
-    lows = [_SPACES.sub(" ", x).lower() for x in lines]
+    lows = [" ".join(x.split()).lower() for x in lines]
     n = len(lines)
-    chrome = [bool(x) and _matches(_CHROME, x, lines[i], 200) for i, x in enumerate(lows)]
-    heads = [bool(x) and not chrome[i] and _matches(_RELATED, x, lines[i], 80) for i, x in enumerate(lows)]
+    kinds = [_kind(low, line) if low else (False, False) for low, line in zip(lows, lines)]
+    chrome, heads = [k[0] for k in kinds], [k[1] for k in kinds]
     prose = [bool(x) and not chrome[i] and is_prose(x) for i, x in enumerate(lines)]
-    item = [bool(x) and not chrome[i] and bool(_ITEM.match(x)) and not re.fullmatch(r"\d+", x) for i, x in enumerate(lines)]
+    item = [bool(x) and not chrome[i] and bool(_ITEM.match(x)) for i, x in enumerate(lines)]
     cells = [x.count(" | ") for x in lines]
     start = _title_at(lows, title, lines)
     known = start is not None

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ from crawlquarry.session import materialize, spread
 
 BLOCK = 1024
 _SENTENCE = re.compile(r"[.!?…][\"”»“’')\]]*(?=\s|$)|[。！？]", re.M)
+_LINK = re.compile(r"(?<!\S)(?:#|https?://|www\.)")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _CYRILLIC, _KANA, _HIGH = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[぀-ヿ一-鿿]"), re.compile(r"[\u0080-ÿŒ-ƒ‘-™]")
 #: The commonest function words of the languages in Latin script.
@@ -36,17 +38,32 @@ _FUNCTION_WORDS = {
     "pt": {"os", "não", "uma", "em", "da", "do", "das", "dos", "ao", "são"},
 }
 
+_LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
+for _k, _v in _FUNCTION_WORDS.items():
+    for _w in _v:
+        _LANGUAGES_OF[_w] = (*_LANGUAGES_OF.get(_w, ()), _k)
+
 
 def language(text: str, words: list[str]) -> str:
     """Coarse language class; ``broken`` where most letters are stray high characters, ``none`` where no function words occur."""
     n = max(1, len(text))
+    if text.isascii():
+        return _by_words(words)
     if len(_KANA.findall(text)) > 0.2 * n:
         return "ja"
     if len(_CYRILLIC.findall(text)) > 0.3 * n:
         return "ru"
     if len(_HIGH.findall(text)) > 0.15 * n:
         return "broken"
-    counts = {k: sum(w in v for w in words) for k, v in _FUNCTION_WORDS.items()}
+    return _by_words(words)
+
+
+def _by_words(words: list[str]) -> str:
+    seen = Counter(map(_LANGUAGES_OF.get, words))
+    counts = dict.fromkeys(_FUNCTION_WORDS, 0)
+    for languages, n in seen.items():
+        for k in languages or ():
+            counts[k] += n
     best = max(counts, key=counts.get)
     return best if counts[best] >= 0.05 * max(1, len(words)) else "none"
 
@@ -71,12 +88,8 @@ def measure(text: str) -> tuple[str, list[tuple[int, float]], float, float, floa
             if end - last <= 600:
                 inside += end - last
             last = end
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    top = sum(sorted(counts.values(), reverse=True)[:8]) / max(1, len(words))
-    tokens = text.split()
-    links = sum(t.startswith(("#", "http://", "https://", "www.")) for t in tokens) / max(1, len(tokens))
+    top = sum(n for _, n in Counter(words).most_common(8)) / max(1, len(words))
+    links = len(_LINK.findall(text)) / max(1, len(text.split()))
     return language(text, words), blocks, inside / max(1, len(text)), len(_SENTENCE.findall(text)) / max(1, len(words)), top, links
 
 
