@@ -131,7 +131,7 @@ class ItemIndex:
     def align(self, text: str, item: int, band: tuple[int, int, int, int]) -> int:
         """Best local alignment in a band: matched characters less ``q`` for each edit."""
         low, high, start, stop = band
-        passage, best, q = self.texts[item], 0, self.q
+        passage, best, q = self.texts[item], 0, self.q if self.edits else 1 << 30
         width = high - low + 1
         row = [0] * (width + 2)
         for i in range(start, min(stop, len(passage))):

@@ -100,6 +100,8 @@ _known: dict[str, tuple[bool, bool]] = {}
 
 
 def _kind(low: str, line: str) -> tuple[bool, bool]:
+    if len(line) > 1000:  # text, whatever it says
+        return False, False
     found = _known.get(line)
     if found is None:
         chrome = _matches(_CHROME, low, line)

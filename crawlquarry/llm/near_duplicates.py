@@ -56,10 +56,20 @@ class Settings:
         return max(1, int(n * p - 5 * (n * p * (1 - p)) ** 0.5))
 
 
-def superminhash(values: np.ndarray, owner: np.ndarray, texts: int, slots: int) -> np.ndarray:
-    """Signatures (texts x slots, uint32) of sets given as distinct (owner, value) rows sorted by owner."""
-    high = np.uint32(0xFFFFFFFF)
-    h = np.full((texts, slots), high, np.uint32)
+def superminhash(values: np.ndarray, owner: np.ndarray, texts: int, slots: int, block: int = 40_000) -> np.ndarray:
+    """Signatures (texts x slots, uint32) of sets given as distinct (owner, value) rows sorted by owner.
+
+    Blocks of rows bound the memory of the permutations; a set may span blocks, as its signature is a minimum.
+    """
+    h = np.full((texts, slots), np.uint32(0xFFFFFFFF), np.uint32)
+    for at in range(0, len(values), block):
+        _lower(h, values[at : at + block], owner[at : at + block])
+    return h
+
+
+def _lower(h: np.ndarray, values: np.ndarray, owner: np.ndarray) -> None:
+    """Lower the signatures ``h`` by some of their sets' elements."""
+    texts, slots = h.shape
     flat = h.reshape(-1)
     live = np.arange(len(values))
     perm = np.broadcast_to(np.arange(slots, dtype=np.uint16), (len(values), slots)).copy()
@@ -79,7 +89,6 @@ def superminhash(values: np.ndarray, owner: np.ndarray, texts: int, slots: int)
             live = live[open_[owner[live]]]
             if not len(live):
                 break
-    return h
 
 
 def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:

@@ -34,7 +34,7 @@ KINDS = ("email", "national_id", "phone", "street_address", "person_name")
 _AT = r"(?:\s?[\[({<]\s?(?:at|AT|At|@|arroba|ät)\s?[\])}>]\s?|\s(?:at|AT|arroba)\s)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|Dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|punto|point)\s|\.)"
 _LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*"
-EMAIL = re.compile(rf"[A-Za-z0-9][\w.+-]*@{_LABEL}(?:\.{_LABEL})+|[A-Za-z0-9][\w.+-]*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
+EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@{_LABEL}(?:\.{_LABEL})+|(?<![\w.+-])[A-Za-z0-9][\w.+-]*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
 #: Shapes of identity, insurance, tax and passport numbers; # is a digit, @ a capital letter.
 ID_SHAPES = ("@@######@", "@@ ## ## ## @", "###-##-####", "### ## ####", "########@", "@########", "@@@@-######", "######-####", "## ### ### ###", "@#########", "@@#######", "### ### ### ##")
 ID = re.compile(r"(?<![\w.+/-])(?:" + "|".join("".join(r"\d" if c == "#" else "[A-Z]" if c == "@" else re.escape(c) for c in s) for s in ID_SHAPES) + r")(?![\w-])(?!\.\d)")
