@@ -55,5 +55,5 @@ def heavy_keys(df: DataFrame, key: Column, value: Column, least_share_percent: i
     """(key, distinct): keys with at least that share of all distinct values."""
     weighted = weighted_values(df, key, value).where(F.col("value").isNotNull())
     per_key = weighted.groupBy("key").agg(F.count("*").alias("distinct"))
-    total = weighted.select("value").distinct().agg(F.count("*").alias("total"))
-    return per_key.crossJoin(F.broadcast(total)).where(F.col("distinct") * 100 >= F.col("total") * least_share_percent).select("key", "distinct")
+    total = weighted.select("value").distinct().agg(F.count("*").alias("total")).scalar()
+    return per_key.where(F.col("distinct") * 100 >= total * least_share_percent).select("key", "distinct")
