@@ -80,15 +80,12 @@ def normalize_url(url) -> Column:
 
     Default ports and the case of the path are kept; ``;params`` of the last segment are kept behind the trimmed path.
     """
+    # Each part is written so that it's evaluated once: replacements at the ends instead of conditions.
     u = _c(url)
-    whole = path(u)
-    last = F.regexp_extract(whole, r"([^/]*)$", 1)
-    params = F.when(F.instr(last, ";") > 0, F.regexp_extract(last, r"(;.*)$", 1)).otherwise("")
-    bare = F.when(F.instr(last, ";") > 0, F.regexp_extract(whole, r"^((?:.*/)?[^/;]*);", 1)).otherwise(whole)
-    trimmed = F.rtrim(bare, F.lit("/"))
-    trimmed = F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
-    q = canonical_query(query(u))
-    return F.concat(scheme(u), F.lit("://"), host_key(u), trimmed, params, F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+    bare = F.rtrim(F.regexp_replace(path(u), ";[^/]*$", ""), F.lit("/"))
+    params = F.regexp_extract(path(u), "(;[^/]*)$", 1)
+    q = F.regexp_replace(F.concat(F.lit("?"), canonical_query(query(u))), r"^\?$", "")
+    return F.concat(scheme(u), F.lit("://"), host_key(u), F.regexp_replace(bare, "^$", "/"), params, q)
 
 
 def branch_key(url, most: int = 2) -> Column:

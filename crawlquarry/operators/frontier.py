@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from crawlquarry.session import table
 
@@ -24,8 +25,12 @@ def plain_zero(c: str) -> Column:
 
 
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """One row a key, the greatest by ``order``; an aggregation, so repeated rows are combined before the shuffle."""
-    return df.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("r")).select("r.*")
+    """One row a key, the greatest by ``order``.
+
+    A rank filter: Spark applies it before the shuffle as well, and columns nobody asks for aren't read.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*[c.desc() for c in order]))
+    return df.withColumn("rank_", rank).where(F.col("rank_") == 1).drop("rank_")
 
 
 def _text(c: str) -> Column:
@@ -35,14 +40,14 @@ def _text(c: str) -> Column:
 def ledger(raw: DataFrame) -> DataFrame:
     """One row a URL: the version with the latest event."""
     seen = F.greatest("added_at", F.coalesce("last_success_at", F.lit(0.0)), F.coalesce("terminalized_at", F.lit(0.0)))
-    order = [seen, F.col("next_fetch_at"), F.col("fail_streak"), F.col("discovery_value"), *map(_text, ("host", "url_hash", "source_url", "last_error", "current_intent", "terminal_reason")), F.coalesce("url_length", F.lit(0))]
+    order = [seen, F.col("next_fetch_at"), F.col("fail_streak"), F.col("discovery_value"), *map(_text, ("host", "last_error", "current_intent", "url_hash"))]
     one = latest(raw.where(F.col("url").isNotNull()), "url", order)
     return one.withColumns({"next_fetch_at": plain_zero("next_fetch_at"), "host": F.lower("host"), "terminal_reason": F.when(F.col("terminal_reason") != "", F.col("terminal_reason"))})
 
 
 def pages(raw: DataFrame) -> DataFrame:
     """One row a page: the latest crawl."""
-    order = [F.col("crawled_at"), F.col("created_at"), F.coalesce("status", F.lit(-1)), F.coalesce("content_length", F.lit(-1)), F.col("stored_content_bytes"), *map(_text, ("title", "content_type")), F.col("outlink_count"), F.col("url"), F.col("host")]
+    order = [F.col("crawled_at"), F.col("created_at"), F.coalesce("status", F.lit(-1)), F.coalesce("content_length", F.lit(-1)), F.col("outlink_count"), _text("title"), F.col("url"), F.col("host")]
     return latest(raw.where(F.col("url_hash").isNotNull()), "url_hash", order).withColumn("host", F.lower("host"))
 
 

@@ -14,11 +14,11 @@ ledger AS (SELECT url, url_hash, url_length, url_identity_version, lower(host) A
     CASE WHEN next_fetch_at = 0 THEN 0.0 ELSE next_fetch_at END AS next_fetch_at, current_intent, last_success_at, fail_streak, last_error,
     CASE WHEN terminal_reason <> '' THEN terminal_reason END AS terminal_reason, terminalized_at
   FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY greatest(added_at, coalesce(last_success_at, 0), coalesce(terminalized_at, 0)) DESC, next_fetch_at DESC, fail_streak DESC, discovery_value DESC,
-    coalesce(host, '') DESC, coalesce(url_hash, '') DESC, coalesce(source_url, '') DESC, coalesce(last_error, '') DESC, coalesce(current_intent, '') DESC, coalesce(terminal_reason, '') DESC, coalesce(url_length, 0) DESC) AS rn
+    coalesce(host, '') DESC, coalesce(last_error, '') DESC, coalesce(current_intent, '') DESC, coalesce(url_hash, '') DESC) AS rn
     FROM url_ledger WHERE url IS NOT NULL) WHERE rn = 1)"""
 PAGES = """
 pg AS (SELECT * EXCLUDE (rn) REPLACE (lower(host) AS host) FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY crawled_at DESC, created_at DESC, coalesce(status, -1) DESC, coalesce(content_length, -1) DESC,
-    stored_content_bytes DESC, coalesce(title, '') DESC, coalesce(content_type, '') DESC, outlink_count DESC, url DESC, host DESC) AS rn FROM pages WHERE url_hash IS NOT NULL) WHERE rn = 1)"""
+    outlink_count DESC, coalesce(title, '') DESC, url DESC, host DESC) AS rn FROM pages WHERE url_hash IS NOT NULL) WHERE rn = 1)"""
 STATE = """
 hs AS (SELECT lower(host_key) AS host_key, crawl_delay_seconds, CASE WHEN next_request_at = 0 THEN 0.0 ELSE next_request_at END AS next_request_at, CASE WHEN backoff_until = 0 THEN 0.0 ELSE backoff_until END AS backoff_until,
     consecutive_failures, latency_ewma_ms, latency_last_ms, latency_sample_count, robots_checked_at FROM host_state)"""
