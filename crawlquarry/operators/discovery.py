@@ -91,15 +91,19 @@ def decided_links(scored: DataFrame, c: Control) -> DataFrame:
     )
 
 
+def ranked_candidates(decided: DataFrame) -> DataFrame:
+    """Candidates with their place on their page, by value and URL."""
+    return decided.where(F.col("reason") == "candidate").withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("value"), "url")))
+
+
 def capped_links(decided: DataFrame, c: Control) -> DataFrame:
     """Candidates with the outcome of the greedy caps of their page, by windows.
 
     In order of value and URL a link is refused once its page is full, if it would open one
     new external host too many under pressure, or if its host is full on the page.
     """
-    order = [F.desc("value"), "url"]
     page = Window.partitionBy("page")
-    rows = decided.where(F.col("reason") == "candidate").withColumn("r", F.row_number().over(page.orderBy(*order)))
+    rows = ranked_candidates(decided)
     new = (F.col("host") != F.col("parent_host")) & ~F.col("is_seed") & (F.col("host") != "") & ~F.col("known")
     rows = rows.withColumn("is_new", new).withColumn("first_r", F.min("r").over(Window.partitionBy("page", "host")))
     rows = rows.withColumn("nth_new", F.dense_rank().over(Window.partitionBy("page", "is_new").orderBy("first_r")))

@@ -88,3 +88,26 @@ def repair_scan(queue: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFram
     orphans = heads.join(queue.select(F.col("url").alias("head_url"), "physical_queue").distinct(), ["head_url", "physical_queue"], "left_anti")
     missing = queue.select("physical_queue", "host").distinct().join(heads.select("physical_queue", "host"), ["physical_queue", "host"], "left_anti")
     return orphans, missing
+
+
+def scan_by_time(queue: DataFrame, host_state: DataFrame, now: float, limit: int) -> DataFrame:
+    """Runnable URLs by time, penalty, age, score and URL, without regard to hosts."""
+    rows = with_host_state(queue, host_state).where(is_runnable(now)).withColumn("latency_penalty", policy.latency_penalty("latency_ewma_ms"))
+    columns = ("url", "host", "physical_queue", "next_fetch_at", "latency_penalty", "added_at", "scheduler_score")
+    return rows.orderBy("next_fetch_at", "latency_penalty", "added_at", F.desc("scheduler_score"), "url", "physical_queue").limit(limit).select(*columns)
+
+
+def revalidated(heads: DataFrame, pending: DataFrame) -> DataFrame:
+    """(outcome, n): heads whose URL is still pending, and stale ones."""
+    there = pending.select(F.col("url").alias("head_url"), "physical_queue", F.lit(True).alias("there")).distinct()
+    outcome = F.when(F.col("there"), "hit").otherwise("stale")
+    return heads.join(there, ["head_url", "physical_queue"], "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def better_offers(batch: DataFrame, heads: DataFrame) -> DataFrame:
+    """Best row of each (queue, host) of a batch where it strictly beats the present head; the count is the batch's."""
+    offer = best_per(batch, ["physical_queue", "host"], [F.col(c) for c in ("next_fetch_at", "added_at", "scheduler_score", "url")], descending=(2,))
+    j = offer.join(heads.select("physical_queue", "host", "head_next_fetch_at", "head_added_at", "head_scheduler_score", "head_url"), ["physical_queue", "host"], "left")
+    new = F.struct(F.col("next_fetch_at").alias("a"), F.col("added_at").alias("b"), (-F.col("scheduler_score")).alias("c"), F.col("url").alias("d"))
+    old = F.struct(F.col("head_next_fetch_at").alias("a"), F.col("head_added_at").alias("b"), (-F.col("head_scheduler_score")).alias("c"), F.col("head_url").alias("d"))
+    return j.where(F.col("head_url").isNull() | (new < old)).select("physical_queue", "host", F.col("url").alias("head_url"), F.col("group_rows").alias("runnable_url_count"))

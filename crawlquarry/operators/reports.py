@@ -113,3 +113,33 @@ def timing_summary(samples: DataFrame, stage: str, value: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg(value), 4).alias("avg_ms"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}`)").alias("p50_ms"),
         F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{value}`)").alias("p95_ms"), F.max(value).alias("max_ms"),
     )
+
+
+def effective_states(s: Snapshot) -> DataFrame:
+    """(state, n): queued URLs by what they wait for, and the durable states of the rest."""
+    rows = with_host_state(s.pending, s.host_state)
+    due = F.col("next_fetch_at") <= s.now
+    state = F.when(is_runnable(s.now), "runnable").when(due, "blocked").otherwise("scheduled")
+    waiting = rows.select(state.alias("state")).unionByName(s.blocked.select(F.lit("blocked").alias("state")))
+    names = s.ledger.sparkSession.createDataFrame([("runnable",), ("blocked",), ("scheduled",)], "state string")
+    counted = names.join(waiting.groupBy("state").agg(F.count("*").alias("n")), "state", "left").select("state", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    rest = durable_state_counts(s).where(F.col("state").isin("leased", "terminal", "done", "discovered"))
+    return counted.unionByName(rest)
+
+
+def daemon_readiness(heads: DataFrame, s: Snapshot) -> DataFrame:
+    """One row from the heads alone: pending URLs, hosts that can run, shortest wait, quarantined URLs."""
+    wait = F.greatest(F.col("runnable_at") - s.now, F.lit(0.0))
+    summary = heads.agg(F.coalesce(F.sum("runnable_url_count"), F.lit(0)).cast("long").alias("pending"), F.countDistinct(F.when(F.col("runnable_at") <= s.now, F.col("host"))).alias("runnable_hosts"), F.min(wait).alias("next_delay"))
+    return summary.withColumn("quarantined", s.blocked.agg(F.count("*").alias("n")).scalar())
+
+
+def observation(s: Snapshot, pages: DataFrame) -> DataFrame:
+    """(section, json): the sections of an operator's overview, each one JSON document."""
+    one = lambda name, df: df.agg(F.collect_list(F.struct("*")).alias("rows")).select(F.lit(name).alias("section"), F.to_json("rows").alias("json"))
+    # Every section is a handful of rows: totals, or one a state, tier, category.
+    parts = [one("pages", page_totals(pages)), one("readiness", readiness(s)), one("states", durable_state_counts(s)), one("queues", queue_counts(s)), one("errors", error_breakdown(s)), one("storage", storage_tiers(pages))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

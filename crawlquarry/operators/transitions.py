@@ -107,3 +107,28 @@ def promote_heads(s: Snapshot, limit: int) -> DataFrame:
     rows = s.pending.where((F.col("physical_queue") == "scheduled") & (F.col("next_fetch_at") <= s.now)).join(busy, "host", "left_anti")
     best = rows.groupBy("host").agg(F.min_by(F.struct("url", "scheduler_score", "added_at"), F.struct((-F.col("scheduler_score")).alias("a"), "added_at", "url")).alias("r"))
     return best.select("host", "r.*").orderBy(F.desc("scheduler_score"), "added_at", "url").limit(limit)
+
+
+def take_leases(picked: DataFrame, now: float, seconds: float) -> DataFrame:
+    """Picked rows as leases; the token is new each time."""
+    return picked.select("url", "host", "physical_queue", F.expr("replace(uuid(), '-', '')").alias("lease_token"), F.lit(now + seconds).alias("lease_expires_at"))
+
+
+def admit(ledger: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Memberships of the open, never successful URLs among ``tasks``; the score is what the ledger says of them."""
+    open_ = ledger.where(F.col("terminal_reason").isNull() & F.col("last_success_at").isNull())
+    place = F.when(F.col("intent") == "refresh", "refresh").otherwise("scheduled")
+    j = open_.join(tasks.select("url", "intent"), "url")
+    return j.select("url", "host", place.alias("physical_queue"), F.col("discovery_value").alias("scheduler_score"), "next_fetch_at", urls.branch_key("url").alias("branch_key"))
+
+
+def requeue_failed(s: Snapshot) -> DataFrame:
+    """Closed URLs with an error, open again for a retry; their failures still count."""
+    failed = s.ledger.where(F.col("terminal_reason").isNotNull() & F.col("last_error").isNotNull())
+    return failed.select("url", "host", F.lit("retry").alias("current_intent"), F.lit(s.now).alias("next_fetch_at"), F.lit("scheduled").alias("physical_queue"), "fail_streak")
+
+
+def seed_upsert(ledger: DataFrame, seeds: DataFrame, value: float = 2.0) -> DataFrame:
+    """Seeds with full value and a clean slate, known or not, for the runnable queue."""
+    known = ledger.select("url", "added_at")
+    return seeds.select("url").distinct().join(known, "url", "left").select("url", F.lit(value).alias("discovery_value"), F.lit(0).alias("fail_streak"), F.lit(None).cast("string").alias("terminal_reason"), "added_at", F.lit("runnable").alias("physical_queue"), urls.branch_key("url").alias("branch_key"))

@@ -722,6 +722,101 @@ def stream_host_state(spark, d):
     return states.where("samples > 0").select("host", "samples", F.round("ewma_ms", 6).alias("ewma_ms"), "last_ms")
 
 
+# --- leases, offers and summaries ---------------------------------------------------------------
+
+
+@query("lease_host_first_scan", f"WITH {S.SNAPSHOT} SELECT url, host, physical_queue, next_fetch_at, {S.penalty('latency_ewma_ms')} AS latency_penalty, added_at, scheduler_score FROM (SELECT p.*, hs.latency_ewma_ms FROM pend p LEFT JOIN hs ON hs.host_key = p.host WHERE {S.RUNNABLE}) ORDER BY next_fetch_at, latency_penalty, added_at, scheduler_score DESC, url, physical_queue LIMIT 32")
+def lease_host_first_scan(spark, d):
+    s = _snap(spark, d)
+    return heads.scan_by_time(s.pending, s.host_state, NOW, 32)
+
+
+@query("lease_batch", f"WITH {S.SNAPSHOT} SELECT url, host, physical_queue, CAST({NOW + 300} AS DOUBLE) AS lease_expires_at FROM (SELECT p.*, {S.penalty('hs.latency_ewma_ms')} AS pen FROM pend p LEFT JOIN hs ON hs.host_key = p.host WHERE {S.RUNNABLE} AND url IN (SELECT url FROM ledger WHERE terminal_reason IS NULL)) ORDER BY scheduler_score DESC, pen, next_fetch_at, added_at, url, physical_queue LIMIT 64")
+def lease_batch(spark, d):
+    s = _snap(spark, d)
+    picked = heads.lease_by_url(s.pending, s.host_state, s.ledger, NOW, 64)
+    return transitions.take_leases(picked, NOW, frontier.LEASE_SECONDS).select("url", "host", "physical_queue", "lease_expires_at")
+
+
+@query("lease_diag", f"WITH {S.SNAPSHOT}, {S.HEADS} SELECT CASE WHEN EXISTS (SELECT 1 FROM pend WHERE pend.url = hd.head_url AND pend.physical_queue = hd.physical_queue) THEN 'hit' ELSE 'stale' END AS outcome, count(*) AS n FROM hd WHERE runnable_at <= {NOW} GROUP BY 1")
+def lease_diag(spark, d):
+    s = _snap(spark, d)
+    return heads.revalidated(heads.host_heads(s.queue, s.host_state, s.host_ledger, NOW).where(F.col("runnable_at") <= NOW), s.pending)
+
+
+@query("head_offer", f"""WITH {S.SNAPSHOT}, {S.HEADS}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY physical_queue, host ORDER BY next_fetch_at, added_at, scheduler_score DESC, url) AS rn, count(*) OVER (PARTITION BY physical_queue, host) AS n FROM pend WHERE next_fetch_at <= {NOW}) WHERE rn = 1)
+    SELECT o.physical_queue, o.host, o.url AS head_url, o.n AS runnable_url_count FROM o LEFT JOIN hd ON hd.physical_queue = o.physical_queue AND hd.host = o.host WHERE hd.host IS NULL OR (o.next_fetch_at, o.added_at, -o.scheduler_score, o.url) < (hd.head_next_fetch_at, hd.head_added_at, -hd.head_scheduler_score, hd.head_url)""")
+def head_offer(spark, d):
+    """What the due pending rows offer as better heads than the present ones."""
+    s = _snap(spark, d)
+    return heads.better_offers(s.pending.where(F.col("next_fetch_at") <= NOW), heads.host_heads(s.queue, s.host_state, s.host_ledger, NOW))
+
+
+@query("missing_heads", f"WITH {S.SNAPSHOT}, {S.LIVE} SELECT DISTINCT physical_queue, host FROM pend WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.host = pend.host AND live.physical_queue = pend.physical_queue) ORDER BY physical_queue, host LIMIT 2048")
+def missing_heads(spark, d):
+    s = _snap(spark, d)
+    live = heads.live_heads(s.queue, s.host_state, NOW).withColumnRenamed("url", "head_url")
+    return heads.repair_scan(s.pending, live)[1].orderBy("physical_queue", "host").limit(2048)
+
+
+@query("dirty_heads", f"WITH {S.SNAPSHOT} SELECT physical_queue, host, min(added_at) AS marked_at FROM member JOIN q USING (url) WHERE contains(place, ':') GROUP BY 1, 2 ORDER BY marked_at, physical_queue, host LIMIT 2048")
+def dirty_heads(spark, d):
+    """(queue, host) pairs touched by blocked or leased URLs, oldest mark first."""
+    s = _snap(spark, d)
+    touched = invariants.memberships(s).where(F.col("place").contains(":")).select("url").join(s.queue, "url")
+    return touched.groupBy("physical_queue", "host").agg(F.min("added_at").alias("marked_at")).orderBy("marked_at", "physical_queue", "host").limit(2048)
+
+
+@query("admission_rank", f"WITH {S.LINKS} SELECT page, url, CAST(value AS INT) AS value, CAST(r AS INT) AS r FROM r1")
+def admission_rank(spark, d):
+    return discovery.ranked_candidates(discovery.decided_links(_scored(spark, d), _CONTROL)).select("page", "url", F.col("value").cast("int").alias("value"), "r")
+
+
+@query("admission_reasons", f"WITH {S.LINKS} SELECT parent_host, reason, count(*) AS n FROM decided GROUP BY 1, 2")
+def admission_reasons(spark, d):
+    return discovery.decided_links(_scored(spark, d), _CONTROL).groupBy("parent_host", "reason").agg(F.count("*").alias("n"))
+
+
+@query("admit", f"""WITH {_TASKS}, {S.LEDGER} SELECT l.url, l.host, 'scheduled' AS physical_queue, l.discovery_value AS scheduler_score, l.next_fetch_at, {S.branch('l.url')} AS branch_key FROM ledger l JOIN tasks t ON t.url = l.url WHERE l.terminal_reason IS NULL AND l.last_success_at IS NULL""")
+def admit(spark, d):
+    return transitions.admit(_snap(spark, d).ledger, transitions.prepare_tasks(_tasks(spark, d)))
+
+
+@query("requeue_failed", f"WITH {S.SNAPSHOT} SELECT url, host, 'retry' AS current_intent, CAST({NOW} AS DOUBLE) AS next_fetch_at, 'scheduled' AS physical_queue, fail_streak FROM ledger WHERE terminal_reason IS NOT NULL AND last_error IS NOT NULL")
+def requeue_failed(spark, d):
+    return transitions.requeue_failed(_snap(spark, d))
+
+
+@query("seed_upsert", f"WITH {S.LEDGER} SELECT url, CAST(2.0 AS DOUBLE) AS discovery_value, 0 AS fail_streak, 'runnable' AS physical_queue, {S.branch('url')} AS branch_key FROM ledger WHERE source_url IS NULL")
+def seed_upsert(spark, d):
+    s = _snap(spark, d)
+    return transitions.seed_upsert(s.ledger, s.ledger.where("source_url IS NULL").select("url")).select("url", "discovery_value", "fail_streak", "physical_queue", "branch_key")
+
+
+@query("effective_states", f"{_STATES}, j AS (SELECT p.*, hs.next_request_at, hs.backoff_until FROM pend p LEFT JOIN hs ON hs.host_key = p.host) SELECT 'blocked' AS state, (SELECT count(*) FROM j WHERE next_fetch_at <= {NOW} AND (coalesce(next_request_at, 0) > {NOW} OR coalesce(backoff_until, 0) > {NOW})) + (SELECT count(*) FROM blocked) AS n UNION ALL SELECT 'runnable', (SELECT count(*) FROM j WHERE {S.RUNNABLE}) UNION ALL SELECT 'scheduled', (SELECT count(*) FROM j WHERE next_fetch_at > {NOW}) UNION ALL SELECT state, count(*) FROM st WHERE state IN ('leased', 'terminal', 'done', 'discovered') GROUP BY state")
+def effective_states(spark, d):
+    return reports.effective_states(_snap(spark, d))
+
+
+@query("daemon_readiness", f"WITH {S.SNAPSHOT}, {S.HEADS} SELECT CAST(coalesce(sum(runnable_url_count), 0) AS BIGINT) AS pending, count(DISTINCT host) FILTER (runnable_at <= {NOW}) AS runnable_hosts, min(greatest(runnable_at - {NOW}, 0.0)) AS next_delay, (SELECT count(*) FROM blocked) AS quarantined FROM hd")
+def daemon_readiness(spark, d):
+    s = _snap(spark, d)
+    return reports.daemon_readiness(heads.host_heads(s.queue, s.host_state, s.host_ledger, NOW), s)
+
+
+@query("observation")
+def observation(spark, d):
+    """One JSON document: totals, readiness, states, errors and storage."""
+    s = _snap(spark, d)
+    return reports.observation(s, _pages(spark, d))
+
+
+@query("cycle_throughput", f"WITH {S.PAGES} SELECT CAST(floor(crawled_at / 86400) AS BIGINT) AS day, count(*) AS pages, round(count(*) / 86400.0, 6) AS pages_a_second FROM pg GROUP BY 1")
+def cycle_throughput(spark, d):
+    day = F.floor(F.col("crawled_at") / 86400).cast("long").alias("day")
+    return _pages(spark, d).groupBy(day).agg(F.count("*").alias("pages")).withColumn("pages_a_second", F.round(F.col("pages") / 86400.0, 6))
+
+
 def queries():
     return dict(_QUERIES)
 
