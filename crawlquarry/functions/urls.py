@@ -160,12 +160,17 @@ def v4_number(host: Column) -> Column:
 
 
 def blocked_v4(host: Column) -> Column:
-    n = v4_number(host)
-    hit = F.lit(False)
-    for first, bits in BLOCKED_V4:
-        low = int(ipaddress.IPv4Address(first))
-        hit = hit | n.between(low, low + 2 ** (32 - bits) - 1)
-    return F.coalesce(hit, F.lit(False))
+    """Whether a dotted quad lies in a blocked range; anything else doesn't."""
+
+    def inside(n: Column) -> Column:
+        hit = F.lit(False)
+        for first, bits in BLOCKED_V4:
+            low = int(ipaddress.IPv4Address(first))
+            hit = hit | n.between(low, low + 2 ** (32 - bits) - 1)
+        return hit
+
+    # Bound to a lambda, the number is worked out once for all ranges; nulls match none.
+    return F.coalesce(F.exists(F.array(v4_number(host)), inside), F.lit(False))
 
 
 def legacy_v4(host: Column) -> Column:
@@ -181,16 +186,26 @@ def egress_reason(url, ports: tuple[int, ...] = DEFAULT_PORTS, private: bool = F
 
     ``v6``: whether the host is a blocked IPv6 literal (see blocked_v6); null means there are none.
     """
-    s, authority = scheme(url), netloc(url)
+    authority = netloc(url)
     rest = F.regexp_replace(authority, r"^.*@", "")
     bracket = rest.startswith("[")
     name = F.when(bracket, F.regexp_extract(rest, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(rest, r"^([^:]*)", 1))
-    host = F.rtrim(F.lower(F.trim(name)), F.lit("."))
-    port_text = F.when(bracket, F.regexp_extract(rest, r"\]:(.*)$", 1)).otherwise(F.regexp_extract(rest, r":(.*)$", 1))
-    port = F.when(port_text == "", F.when(s == "https", 443).otherwise(80)).otherwise(port_text.try_cast("int"))
-    port = F.when(port == 0, F.when(s == "https", 443).otherwise(80)).otherwise(port)
-    bad = F.when((port_text != "") & (port.isNull() | (port > 65535) | ~port_text.rlike(r"^\d+$")), True).otherwise(F.when(rest.startswith("[") & ~rest.contains("]"), True).otherwise(False))
-    reason = F.when(bad, "invalid_url").when(~s.isin("http", "https"), "unsupported_scheme").when(host == "", "missing_host").when(authority.contains("@"), "userinfo_not_allowed").when(legacy_v4(host), "blocked_legacy_ipv4_literal")
-    if not private:
-        reason = reason.when((host == "localhost") | host.endswith(".localhost"), "blocked_hostname").when(blocked_v4(host) | F.coalesce(v6 if v6 is not None else F.lit(False), F.lit(False)), "blocked_ip_literal")
-    return reason.when(~port.isin(*ports), "blocked_port").otherwise("allowed")
+    port_text = F.regexp_extract(rest, r"(?:\]|^[^\[:]*):(.*)$", 1)
+    parts = F.struct(
+        scheme(url).alias("s"), authority.contains("@").alias("user"), F.rtrim(F.lower(F.trim(name)), F.lit(".")).alias("host"), port_text.alias("port"), (bracket & ~rest.contains("]")).alias("torn"),
+        F.coalesce(v6 if v6 is not None else F.lit(False), F.lit(False)).alias("v6"),
+    )
+
+    def rules(p: Column) -> Column:
+        s, host, given = p["s"], p["host"], p["port"]
+        number = given.try_cast("int")
+        usual = F.when(s == "https", 443).otherwise(80)
+        port = F.when((given == "") | (number == 0), usual).otherwise(number)
+        bad = p["torn"] | ((given != "") & (~given.rlike(r"^\d+$") | number.isNull() | (number > 65535)))
+        reason = F.when(bad, "invalid_url").when(~s.isin("http", "https"), "unsupported_scheme").when(host == "", "missing_host").when(p["user"], "userinfo_not_allowed").when(legacy_v4(host), "blocked_legacy_ipv4_literal")
+        if not private:
+            reason = reason.when((host == "localhost") | host.endswith(".localhost"), "blocked_hostname").when(blocked_v4(host) | p["v6"], "blocked_ip_literal")
+        return reason.when(~port.isin(*ports), "blocked_port").otherwise("allowed")
+
+    # The parts are bound to a lambda, so that each is worked out once for all rules.
+    return F.when(_c(url).isNotNull(), F.element_at(F.transform(F.array(parts), rules), 1))
