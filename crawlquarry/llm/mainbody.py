@@ -67,13 +67,21 @@ _SPACES = re.compile(r"\s+")
 _OFF = str.maketrans("", "", " \t0123456789 ")
 _REPAIRS = (("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp850", "utf-8"), ("cp1251", "utf-8"), ("cp1252", "cp1251"), ("mac_roman", "cp1252"), ("cp1252", "cp932"))
 #: Characters that wrong decodings leave behind.
-_STRAY = re.compile("[\u0080-\u009fÂÃâãÐÑРСƒ√¬┬├Γ╨╤ÈÌÒÓÔÛ‡ˆ‰·¸ﬂ]|[À-ÿ]{4}")
+_STRAY = re.compile("[\u0080-\u009f\ufffdÂÃâãÐÑРСƒ√¬┬├Γ╨╤ÈÌÒÓÔÛ‡ˆ‰·¸ﬂ‚]|[À-ÿ]{4}|[â-é][\u0080-º¼-¿€-™]")
+#: What a lost character of a short phrase mostly was.
+_LOST_ONES = "·–é’©üöäóíñçèàáã«»"
 BODY, SITE = 0, 1
 
 
 def _repaired(line: str) -> list[str]:
-    """What a line with stray characters may have been."""
+    """What a line with stray or lost characters may have been."""
     out, now = [], [line]
+    if "\ufffd" in line:  # no channel reads these; short phrases can be tried
+        if line.count("\ufffd") <= 2:
+            for _ in range(line.count("\ufffd")):
+                now = [t.replace("\ufffd", c, 1) for t in now for c in _LOST_ONES]
+            out = now
+        return out
     for _ in range(2):
         after = []
         for text in now:
