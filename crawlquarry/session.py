@@ -4,12 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, wherever they run; once for each application.
+
+    Functions that run on workers refer to their modules, and a worker doesn't share the driver's path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="crawlquarry-")) / "crawlquarry.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +56,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     later readers. The folder is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -53,6 +77,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     this only costs anything when the whole input is a few files.
     """
     spark = df.sparkSession
+    ship(spark)
     if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism * 2, *keys)
