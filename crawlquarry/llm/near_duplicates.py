@@ -251,13 +251,24 @@ def near_duplicates(texts: DataFrame, s: Settings = Settings(), small: int = 200
     return NearDuplicates(members, checked)
 
 
-def key_pairs(found: NearDuplicates) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: all pairs of keys, copies included."""
-    a = found.members.select(F.col("key").alias("ka"), F.col("id").alias("id_a"))
-    b = found.members.select(F.col("key").alias("kb"), F.col("id").alias("id_b"))
+def key_pairs(found: NearDuplicates, expand: int = 2000) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: the pairs of keys.
+
+    Copies are expanded into all pairs while a class has at most ``expand`` of them. A larger
+    class is given by its least key: each other copy is a pair with it, and it alone stands for
+    the class in pairs between classes, so no link between different texts is lost and no
+    group of copies grows quadratically.
+    """
+    size = found.members.groupBy("id").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
+    members = found.members.join(size, "id")
+    shown = members.where((F.col("copies") <= expand) | (F.col("key") == F.col("least"))).select("id", "key", "copies")
+    a = shown.select(F.col("key").alias("ka"), F.col("id").alias("id_a"))
+    b = shown.select(F.col("key").alias("kb"), F.col("id").alias("id_b"))
     between = found.pairs.join(a, "id_a").join(b, "id_b").select("ka", "kb")
-    copies = a.join(b, a.id_a == b.id_b).where("ka < kb").select("ka", "kb")
-    return between.unionByName(copies).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+    few = shown.where(F.col("copies").between(2, expand))
+    all_ = few.select("id", F.col("key").alias("ka")).join(few.select("id", F.col("key").alias("kb")), "id").where("ka < kb").select("ka", "kb")
+    star = members.where((F.col("copies") > expand) & (F.col("key") != F.col("least"))).select(F.col("least").alias("ka"), F.col("key").alias("kb"))
+    return between.unionByName(all_).unionByName(star).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
 def _local_union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,20 @@ def test_blocks_and_both_fetches_agree(spark):
     assert a == b
 
 
+def test_large_classes_are_stars(spark):
+    texts = corpus(4)
+    rows = list(texts.items()) + [(f"z{i}", texts["g0v0"]) for i in range(9)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "key string, text string"), S)
+    every = {tuple(r) for r in nd.key_pairs(found).collect()}
+    star = {tuple(r) for r in nd.key_pairs(found, expand=5).collect()}
+    copies = {"g0v0", "copy", *(f"z{i}" for i in range(9))}
+    least = min(copies)
+    assert {p for p in star if set(p) <= copies} == {tuple(sorted((least, c))) for c in copies - {least}}
+    assert {p for p in star if not set(p) & copies} == {p for p in every if not set(p) & copies}
+    linked = {x for p in every if len(set(p) & copies) == 1 for x in set(p) - copies}
+    assert linked and {x for p in star if least in p for x in set(p) - copies} == linked
+
+
 def test_superminhash_estimates_and_blocks():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**62, 3000).astype(np.uint64)
