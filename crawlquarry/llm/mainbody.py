@@ -239,7 +239,9 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scored_lines(content: DataFrame, pages: DataFrame) -> DataFrame:
     """(url_hash, host, line_no, path, label, sure) of every line that isn't blank."""
     about = pages.where(F.col("url_hash").isNotNull()).groupBy("url_hash").agg(F.min(F.lower("host")).alias("host"), F.max_by("title", F.struct(F.col("title").isNotNull(), "crawled_at", "title")).alias("title"))
-    texts = content.where(F.col("url_hash").isNotNull() & F.col("content").isNotNull()).groupBy("url_hash").agg(F.max_by("content", F.struct("updated_at", "content")).alias("content"))
+    # Keys are next to unique, so combining before the shuffle would only sort the texts once more.
+    texts = content.where(F.col("url_hash").isNotNull() & F.col("content").isNotNull()).select("url_hash", "content", "updated_at").repartition("url_hash")
+    texts = texts.groupBy("url_hash").agg(F.max_by("content", F.struct("updated_at", "content")).alias("content"))
     joined = texts.join(about, "url_hash", "left").select("url_hash", "host", "title", "content")
     return joined.mapInArrow(_score, "url_hash string, host string, line_no bigint, path bigint, label int, sure boolean")
 
