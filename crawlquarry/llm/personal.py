@@ -102,18 +102,23 @@ def _shouted(text: str, a: int, b: int) -> bool:
     return text[a:b].isupper() and bool(_SHOUTED[0].search(text[max(0, a - 20) : a]) or _SHOUTED[1].match(text[b : b + 20]))
 
 
+def _before(text: str, at: int, most: int) -> str:
+    """Up to ``most`` characters of the line before a place."""
+    return text[max(text.rfind("\n", 0, at) + 1, at - most) : at]
+
+
 def candidates(text: str) -> list[tuple[str, str, str, bool, int, int]]:
     """(kind, matched, node, seed, start, end) of each candidate, overlaps settled by kind and length."""
     found = []
     for m in EMAIL.finditer(text):
         found.append(("email", m.group(), "@" if "@" in m.group() else "at", True, m.start(), m.end()))
     for m in ID.finditer(text):
-        found.append(("national_id", m.group(), shape(m.group()), bool(ID_LABEL.search(text[max(0, m.start() - 40) : m.start()])), m.start(), m.end()))
+        found.append(("national_id", m.group(), shape(m.group()), bool(ID_LABEL.search(_before(text, m.start(), 40))), m.start(), m.end()))
     for m in PHONE.finditer(text):
         digits = sum(c.isdigit() for c in m.group())
         if 9 <= digits <= 18:
             s = re.sub(r"(ext\.?|x) ?#+", "ext", shape(m.group()))
-            label = bool(_PHONE_LABEL.search(text[max(0, m.start() - 30) : m.start()]))
+            label = bool(_PHONE_LABEL.search(_before(text, m.start(), 30)))
             found.append(("phone", m.group(), s, label or m.group().startswith("+"), m.start(), m.end()))
     for m in ADDRESS.finditer(text):
         kind = next(v for v in m.groups() if v)
