@@ -115,6 +115,20 @@ def test_twice_lost_and_sound():
         assert d.garbled(sound) == [], sound
 
 
+def test_marks_alone():
+    # Windows text read as Mac Roman whose only characters beyond ASCII are marks.
+    d = encoding.Decoder(WORDS)
+    for sound in ("It isn’t over yet", "“We postponed it as planned,” they said", "It was 25 °C at noon….", "the years 1990–95"):
+        broken = sound.encode("cp1252").decode("mac_roman")
+        found = d.garbled(broken)
+        assert found, broken
+        for a, b, r in reversed(found):
+            broken = broken[:a] + r + broken[b:]
+        assert broken == sound
+    for sound in ("el país, él habló", "Óscar y Ñandú", "tanít", "äGrtner", "M.ª Ana", "it’s 25 °C…", "la letra ñ es"):
+        assert d.garbled(sound) == [], sound
+
+
 def test_garbled_pages(spark):
     good = "Die Bürger der Straße. Für alle."
     rows = [(f"g{i}", good) for i in range(5)] + [("bad", good.encode().decode("cp1252")), ("n", None), ("e", ""), ("a", "plain"), ("long", "Ã¼" * 20_000)]
