@@ -129,6 +129,33 @@ def test_marks_alone():
         assert d.garbled(sound) == [], sound
 
 
+SENTENCES = {
+    "latin": "Die Bürger gehen für das Jahr über eine Straße und die Bäckerei, les élèves, el señor y los niños",
+    "cyrillic": "Новая дорога стоит в городе и человек",
+    "japanese": "ラヤミ市の小さな橋 レウシ町の静かな工房",
+}
+
+
+@pytest.mark.parametrize("name,wrong,right", encoding.CHANNELS)
+def test_round_trip_of_every_channel(name, wrong, right):
+    sound = SENTENCES["cyrillic" if right in ("cp1251", "koi8_r") else "japanese" if right in ("cp932", "euc_jp") else "latin"]
+    d = encoding.Decoder(WORDS + [(w, 50) for s in SENTENCES.values() for w in s.split() if not w.isascii() and len(w) > 2])
+    seen = {b: c for c, b in encoding.READERS[wrong].items()}
+    broken = "".join(seen.get(b, chr(b)) for b in sound.encode(right))
+    found = d.garbled(broken)
+    for a, b, r in reversed(found):
+        broken = broken[:a] + r + broken[b:]
+    assert found and sum(x == y for x, y in zip(broken.split(), sound.split())) >= len(sound.split()) - 2, broken
+    for text in SENTENCES.values():
+        assert d.garbled(text) == [] and d.garbled(text.upper()) == []
+
+
+def test_signs_of_sound_text():
+    d = encoding.Decoder(WORDS)
+    for sound in ("a ± b", "x≤y", "½Tasse", "m³ km² 5µm", "МГУ", "СССР", "10÷20", "σ-algebra", "col·lecció", "Óxido São", "CO₂ 5€", "Ελλάδα"):
+        assert d.garbled(sound) == [], sound
+
+
 def test_garbled_pages(spark):
     good = "Die Bürger der Straße. Für alle."
     rows = [(f"g{i}", good) for i in range(5)] + [("bad", good.encode().decode("cp1252")), ("n", None), ("e", ""), ("a", "plain"), ("long", "Ã¼" * 20_000)]
