@@ -63,7 +63,9 @@ FILLER_LATIN = (
 )
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[=\-#]?[^%\n]{1,60}%>|<\?=?[^?\n]{1,60}\?>|\$\{[\w.:|-]{1,60}\}|#\{[\w.]{1,60}\}|%%\w{1,60}%%|@@\w{1,60}@@"
-    r"|<<\w{1,60}>>|\[\[[\w. ]{1,60}\]\]|\[insert [^\]\n]{1,60}\]|\[[\w ]{1,60} goes here\]|(?<![\w_])__[a-zA-Z]\w{0,60}?__(?![\w_])|(?<![\w{$#])\{[a-z][a-z_.]{0,60}\}(?!\})"
+    r"|<<\w{1,60}>>|\[\[[\w. ]{1,60}\]\]|\[insert [^\]\n]{1,60}\]|\[[\w ]{1,60} goes here\]|(?<![\w_])__[a-zA-Z]\w{0,60}?__(?![\w_])|(?<![\w{$#])\{[^\W\d][\w.]{0,60}\}(?!\})"
+    # Counts of regular expressions and arguments of formulas are no positional placeholders.
+    r"|(?<![\w{}$#)\]^\\*+?.])\{\d{1,3}(?:[:,][\w.#]{1,20})?\}(?![{}])"
 )
 CODE_SPAN = re.compile(r"`[^`\n]*`")
 _BRACKETS = re.compile(r"[{}<>\[%@_]")

@@ -58,6 +58,13 @@ def test_residue_of_titles_and_nulls(spark):
     assert residue.residue(content(spark, []), pages(spark, [])).count() == 0
 
 
+def test_placeholders_in_single_braces(spark):
+    titles = {"zero": "{0} - Trutho", "one": "{name1} | Site", "camel": "Hello {firstName}", "upper": "{NAME}", "format": "{0:N2} left", "dotted": "{User.Name}", "sound": "Set {1, 2} of 3", "none": None}
+    rows = [(k, PROSE) for k in titles] + [("body", PROSE + "\nDear {0}, welcome."), ("code", PROSE + "\nWrite `{0}` and \\d{3}, [a-z]{2}, (ab){2}, x^{2}, \\frac{1}{2} here.\n#0 {main}")]
+    got = {r.url_hash for r in residue.residue(content(spark, rows), pages(spark, list(titles.items()))).collect()}
+    assert got == {"zero", "one", "camel", "upper", "format", "dotted", "body"}
+
+
 # --- main body
 
 
