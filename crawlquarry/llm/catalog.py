@@ -11,6 +11,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Three words and 0.6 as TESTDATA states; 70 bands of 6 rows find a pair at 0.65 with a probability of 0.996.
 P4 = near_duplicates.Settings(width=3, threshold=0.6, min_words=50, bands=70, rows=6)
 
+#: Edits in twelve words that p9_passages allows; p9_found asks for exact runs.
+P9_EDITS, P9_Q = 2, 12
+
 
 def p1_found(spark, d):
     return repeated_lines.repeated_lines(table(spark, d, "pages"), table(spark, d, "page_content")).select("url_hash", "line_no")
@@ -72,11 +75,11 @@ def p8_ids(spark, d):
 
 
 def p9_found(spark, d):
-    return p9_passages(spark, d).where("run >= 12").select("doc_id", "item_id")
+    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).where("run >= 12").select("doc_id", "item_id")
 
 
 def p9_passages(spark, d):
-    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), q=P9_Q, edits=P9_EDITS)
 
 
 def p10_found(spark, d):

@@ -9,8 +9,10 @@ broadcast, and every document is read against every block.
    The rarest of each piece is looked up for all positions of a batch of documents at once.
 2. *Count.* For a probed pair, all shared q-grams are counted in overlapping bands of
    diagonals; by the q-gram lemma a band that holds the window has at least ``w - q + 1 - edits * q``.
-3. *Align.* Bands that meet the bound are aligned locally inside the band.
-4. The exact check: the longest run of equal consecutive words in both.
+3. *Verify.* In bands that meet the bound, every window is extended over the diagonals of the band
+   by as many edits as the budget allows; a pair stays if one window is covered.
+4. *Align.* Verified bands are aligned locally inside the band.
+5. The exact check: the longest run of equal consecutive words in both.
 
 Defined results: null, empty and wordless texts give no rows; repeated rows of a document or an
 item give one row a pair; items under ``min_words`` words can't be found; extra columns are ignored.
@@ -59,14 +61,17 @@ class ItemIndex:
     """Probes and q-gram positions of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], min_words: int, q: int, edits: int):
-        self.q, self.edits, self.min_words = q, edits, min_words
+        self.edits, self.min_words = edits, min_words
         self.texts = {i: normal(t) for i, t in items}
         self.texts = {i: t for i, t in self.texts.items() if t.count(" ") + 1 >= min_words}
+        # A piece of a window must hold a q-gram.
+        shortest = min((len(w) for t in self.texts.values() for w in self._windows(t)), default=q)
+        self.q = q = max(1, min(q, shortest // (edits + 1)))
         grams = {i: gram_hashes(code_points(t), q) for i, t in self.texts.items()}
         common = Counter(g for h in grams.values() for g in set(h.tolist()))
         self.windows: dict[int, set[str]] = {}
         self.least: dict[int, int] = {}
-        self.aligned: dict[int, int] = {}
+        self.places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         probes: dict[int, set[int]] = defaultdict(set)
         for i, t in self.texts.items():
             words = t.split(" ")
@@ -74,7 +79,8 @@ class ItemIndex:
             self.windows[i] = {f" {' '.join(words[k : k + min_words])} " for k in range(len(words) - min_words + 1)}
             lengths = [int(starts[k + min_words] - starts[k] - 1) for k in range(len(words) - min_words + 1)]
             self.least[i] = max(1, min(lengths) - q + 1 - edits * q)
-            self.aligned[i] = max(1, min(lengths) - edits * (q + 1))
+            # Of the text with a blank at each end, windows with the blanks around them.
+            self.places[i] = starts[: len(lengths)], np.array(lengths) + 2
             h = grams[i].tolist()
             for k, length in enumerate(lengths):
                 inside = h[starts[k] : starts[k] + length - q + 1]
@@ -84,6 +90,7 @@ class ItemIndex:
                     probes[min(whole, key=lambda g: (common[g], g))].add(i)
         self.keys = np.array(sorted(probes), np.uint64)
         self.owners = [sorted(probes[g]) for g in self.keys.tolist()]
+        self.grams = grams
         self.sorted = {}
         for i, h in grams.items():
             order = np.argsort(h, kind="stable")
@@ -91,6 +98,10 @@ class ItemIndex:
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
+    def _windows(self, text: str) -> list[str]:
+        words = text.split(" ")
+        return [" ".join(words[k : k + self.min_words]) for k in range(len(words) - self.min_words + 1)]
+
     def probed(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(index of text, item) pairs that share a probe."""
         joined = "\0".join(texts)
@@ -105,6 +116,17 @@ class ItemIndex:
         pairs = np.unique(np.stack([np.searchsorted(ends, at, "right"), place], 1), axis=0)
         yield from sorted({(d, i) for d, p in pairs.tolist() for i in self.owners[p]})
 
+    def enough(self, known: np.ndarray, item: int) -> bool:
+        """Whether the sorted q-grams of a text meet the bound of some window of the item."""
+        h = self.grams[item]
+        if not len(known):
+            return False
+        there = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        sums = np.concatenate(([0], np.cumsum(there)))
+        starts, lengths = self.places[item]
+        size = lengths - 2 - self.q + 1
+        return bool((sums[starts + size] - sums[starts] >= np.maximum(1, size - self.edits * self.q)).any())
+
     def bands(self, h: np.ndarray, item: int) -> list[tuple[int, int, int, int]]:
         """(first diagonal, last diagonal, first and last position in the item) of the bands of a text with q-grams ``h`` that meet the bound."""
         keys, order = self.sorted[item]
@@ -128,6 +150,42 @@ class ItemIndex:
                 found.append((first, first + width - 1, int(own.min()), int(own.max()) + self.q))
         return found
 
+    def holds(self, text: str, item: int, band: tuple[int, int, int, int]) -> bool:
+        """Whether some window of the item, blanks around it included, is in the text inside a band with at most ``edits`` edits."""
+        low, high, _, _ = band
+        own, other = code_points(f" {self.texts[item]} "), code_points(f" {text} ")
+        starts, lengths = self.places[item]
+        n, ends, width = len(own), starts + lengths, high - low + 1
+        # Equal characters from each place of the item on, along each diagonal; none beyond the text.
+        runs = np.zeros((width, n + 1), np.int64)
+        for b in range(width):
+            d = low + b
+            first, last = max(0, -d), min(n, len(other) - d)
+            if first < last:
+                unequal = np.flatnonzero(own[first:last] != other[first + d : last + d]) + first
+                at = np.arange(first, last)
+                stop = np.append(unequal, last)
+                runs[b, first:last] = stop[np.searchsorted(stop, at)] - at
+        # Furthest place of each window on each diagonal; a window can begin on any of them that lies inside the text.
+        diagonals = np.arange(low, high + 1)[:, None]
+        none = np.int64(-1)
+        begin = np.broadcast_to(starts, (width, len(starts)))
+        reach = np.where((begin + diagonals >= 0) & (begin + diagonals <= len(other)), begin, none)
+        row = np.arange(width)[:, None]
+        for e in range(self.edits + 1):
+            reach = np.where(reach >= 0, np.minimum(reach + runs[row, np.clip(reach, 0, n)], ends), none)
+            if (reach >= ends).any():
+                return True
+            if e < self.edits:
+                further = np.where(reach >= 0, reach + 1, none)  # another character
+                further[:-1] = np.maximum(further[:-1], np.where(reach[1:] >= 0, reach[1:] + 1, none))  # one that the text lacks
+                further[1:] = np.maximum(further[1:], reach[:-1])  # one more in the text
+                further = np.minimum(further, ends)
+                reach = np.where((further + diagonals >= 0) & (further + diagonals <= len(other)), further, reach)
+                if (reach >= ends).any():
+                    return True
+        return False
+
     def align(self, text: str, item: int, band: tuple[int, int, int, int]) -> int:
         """Best local alignment in a band: matched characters less ``q`` for each edit."""
         low, high, start, stop = band
@@ -182,12 +240,16 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = 12,
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), [normal(t) for t in batch.column(1).to_pylist()]
                 out = []
-                last, grams = -1, None
+                last, grams, known = -1, None, None
                 for d, item in own.probed(texts):
                     if d != last:
-                        last, grams = d, gram_hashes(code_points(texts[d]), q)
-                    best = max((own.align(texts[d], item, b) for b in own.bands(grams, item)), default=0)
-                    if best >= own.aligned[item]:
+                        last, grams = d, gram_hashes(code_points(texts[d]), own.q)
+                        known = np.sort(grams)
+                    if not own.enough(known, item):
+                        continue
+                    bands = [b for b in own.bands(grams, item) if own.holds(texts[d], item, b)]
+                    if bands:
+                        best = max(own.align(texts[d], item, b) for b in bands)
                         out.append((ids[d], item, best, own.longest_run(texts[d], item)))
                 columns = list(zip(*out)) if out else [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays(

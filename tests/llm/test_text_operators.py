@@ -237,6 +237,47 @@ def test_leaks_with_edits(spark):
     assert [(r.doc_id, r.item_id) for r in leaks.leaked_passages(d, it, q=6, edits=1).collect()] == [(1, 7)]
 
 
+def brute_edits(docs, items, edits, n=12):
+    """Pairs where a window of an item, with the blanks around it, is within so many edits of a part of the text."""
+    out = set()
+    for d, t in docs:
+        text = f" {leaks.normal(t)} "
+        for i, u in items:
+            v = leaks.normal(u).split()
+            for k in range(len(v) - n + 1):
+                row = [0] * (len(text) + 1)
+                for a in f" {' '.join(v[k : k + n])} ":
+                    new = [row[0] + 1]
+                    for j, b in enumerate(text):
+                        new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+                    row = new
+                if min(row) <= edits:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_with_edits_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["a", "be", "harbour", "counted", "boats", "nine", "fog", "Water", "master", "of", "to"] + [f"w{i}" for i in range(20)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(14))) for i in range(6)]
+    docs = []
+    for i in range(36):
+        passage = list(items[i % 6][1])
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(passage))
+            passage[k : k + 1] = rng.choice([[], ["z"], [passage[k], "z"]])
+        docs.append((i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(6))) + " " + "".join(passage)))
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sizes = []
+    for edits in (0, 1, 2):
+        want = brute_edits(docs, items, edits)
+        got = {(r.doc_id, r.item_id) for r in leaks.leaked_passages(d, it, q=8, edits=edits).collect()}
+        assert got == want
+        sizes.append(len(want))
+    assert sizes[0] < sizes[1] < sizes[2]
+
+
 # --- personal data
 
 
