@@ -1,14 +1,21 @@
 """Keyword-stuffed pages, bare link lists and tag lists, told by their redundancy.
 
-Each page is compressed in blocks. A block's ratio is held against the usual ratio of
-blocks of its length and language (the median over the whole corpus, by Spark), which
-gives a redundancy index: stuffed text compresses far below its like. What the index
-flags is confirmed by the density of sentence punctuation. Lists of links, keywords or tags
-have no sentences at all, and a milder index is enough there; a list whose entries carry
-sentences, a recipe or a table within an article keeps its sentences and stays.
-
-Defined results: null, empty and very short content gives no row (``min_chars``); null
-outlinks and counts count as 0; of repeated rows of a page any decides; extra columns are ignored.
+Each page is compressed in blocks, in two *views*: its letters, and its skeleton, in which
+longer words, numbers, links and tags are one sign each while short words, marks and line ends
+stay. Repeated keywords compress in the first; lists of links, tags or keywords, whose entries
+all differ, compress in the second, where sentences don't, as their short words and marks come irregularly.
+A block's ratio is held against the usual ratio of blocks of its view, length and language
+(the median over the whole corpus, by Spark); the page's redundancy index is the lower of its two means.
+
+An extreme index flags a page, whatever else it holds. Low density of sentence
+punctuation then confirms it; templated keyword sentences, which have their marks, are confirmed
+by an extreme index of their letters with half the words among the eight commonest. Pages that
+aren't flagged never come out, whether they have sentences or not (verses, menus, tables).
+
+Defined results: null, empty and blank content gives no row; null outlinks and counts count
+as 0; of repeated rows of a page any decides; extra columns are ignored. Short pages vary more,
+so the shorter a page, the further below the usual it must lie. Wrongly decoded text has
+no marks to go by and must lie further below still.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from crawlquarry.session import materialize, spread
 
-BLOCK = 1024
+BLOCK, SKELETON_BLOCK = 1024, 512
 _SENTENCE = re.compile(r"[.!?…][\"”»“’')\]]*(?=\s|$)|[。！？]", re.M)
 _LINK = re.compile(r"(?<!\S)(?:#|https?://|www\.)")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
@@ -68,68 +75,96 @@ def _by_words(words: list[str]) -> str:
     return best if counts[best] >= 0.05 * max(1, len(words)) else "none"
 
 
-def measure(text: str) -> tuple[str, list[tuple[int, float]], float, float, float, float]:
-    """(language, (bytes, ratio) of each block, share of characters in sentences, sentence marks a word, share of the 8 commonest words, share of link or tag tokens)."""
+_URLS = re.compile(r"(?:https?://|www\.)\S+")
+_TAGS = re.compile(r"#\w+")
+_NUMBERS = re.compile(r"\d+(?:[.,:]\d+)*")
+_KANJI, _KATAKANA = re.compile(r"[一-鿿]+"), re.compile(r"[ァ-ヿ]+")
+_LONG_WORDS = re.compile(r"[^\W\d_ぁ-ゟ]{4,}")
+_BLANKS = re.compile(r"[^\S\n]+")
+
+
+def skeleton(low: str) -> str:
+    """A text in lower case with one sign for each longer word, number, link and tag; hiragana, short words and marks stay."""
+    if "://" in low or "www." in low:
+        low = _URLS.sub("@", low)
+    if "#" in low:
+        low = _TAGS.sub("#", low)
+    if not low.isascii() and _KANA.search(low):
+        low = _KATAKANA.sub("¦", _KANJI.sub("¤", low))
+    return _BLANKS.sub(" ", _LONG_WORDS.sub("w", _NUMBERS.sub("0", low)))
+
+
+def block_ratios(text: str, size: int) -> list[tuple[int, float]]:
+    """(bytes, compressed share) of blocks of about ``size`` bytes."""
+    raw = text.encode("utf-8", "replace")
+    step = -(-len(raw) // max(1, round(len(raw) / size))) or 1
+    return [(len(p), len(zlib.compress(p, 6)) / len(p)) for p in (raw[a : a + step] for a in range(0, len(raw), step))]
+
+
+def measure(text: str) -> tuple[str, list[tuple[int, int, float]], float, float, float, float]:
+    """(language, (view, bytes, ratio) of each block, share of characters in sentences, sentence marks a word, share of the 8 commonest words, share of link or tag tokens)."""
     low = text.lower()
     words = _LETTERS.findall(low)
-    blocks = []
-    raw = low.encode("utf-8", "replace")
-    n = max(1, round(len(raw) / BLOCK))
-    size = -(-len(raw) // n)
-    for a in range(0, len(raw), size):
-        part = raw[a : a + size]
-        blocks.append((len(part), len(zlib.compress(part, 6)) / len(part)))
-    inside = 0
-    for line in text.split("\n"):
-        marks = [m.end() for m in _SENTENCE.finditer(line)]
-        # A stretch up to a mark is a sentence unless it's far longer than sentences are.
-        last = 0
-        for end in marks:
-            if end - last <= 600:
-                inside += end - last
-            last = end
+    blocks = [(0, *b) for b in block_ratios(low, BLOCK)] + [(1, *b) for b in block_ratios(skeleton(low), SKELETON_BLOCK)]
+    inside = last = marks = 0
+    for m in _SENTENCE.finditer(text):
+        start, marks = max(last, text.rfind("\n", last, m.start()) + 1), marks + 1
+        inside += m.end() - start
+        last = m.end()
     top = sum(n for _, n in Counter(words).most_common(8)) / max(1, len(words))
     links = len(_LINK.findall(text)) / max(1, len(text.split()))
-    return language(text, words), blocks, inside / max(1, len(text)), len(_SENTENCE.findall(text)) / max(1, len(words)), top, links
+    return language(text, words), blocks, inside / max(1, len(text)), marks / max(1, len(words)), top, links
 
 
-def measures(content: DataFrame, min_chars: int = 200) -> DataFrame:
-    """One row for each page: its measures, with the blocks as arrays."""
+def measures(content: DataFrame) -> DataFrame:
+    """One row for each page that isn't blank: its measures, with the blocks as arrays."""
     schema = pa.schema([
-        ("url_hash", pa.string()), ("language", pa.string()), ("sizes", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64())),
-        ("sentences", pa.float64()), ("marks", pa.float64()), ("top", pa.float64()), ("links", pa.float64()),
+        ("url_hash", pa.string()), ("language", pa.string()), ("views", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64())),
+        ("sentences", pa.float64()), ("marks", pa.float64()), ("top", pa.float64()), ("links", pa.float64()), ("chars", pa.int64()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(text) >= min_chars and text.strip():
+                if text.strip():
                     lang, blocks, sentences, marks, top, links = measure(text)
-                    rows.append((key, lang, [b[0] for b in blocks], [b[1] for b in blocks], sentences, marks, top, links))
+                    rows.append((key, lang, [b[0] for b in blocks], [b[1] for b in blocks], [b[2] for b in blocks], sentences, marks, top, links, len(text)))
             columns = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     texts = content.where(F.col("url_hash").isNotNull() & F.col("content").isNotNull()).select("url_hash", "content")
-    return spread(texts).mapInArrow(run, "url_hash string, language string, sizes array<int>, ratios array<double>, sentences double, marks double, top double, links double")
-
-
-def stuffed_pages(content: DataFrame, pages: DataFrame, extreme: float = 0.78, mild: float = 1.12, least_population: int = 30) -> DataFrame:
-    """(url_hash, index, sentences, marks, top): the pages to leave out, with the measures that decided."""
-    m = materialize(measures(content), "measures")
-    usual_length = lambda size: F.floor(F.log2(size.cast("double")) * 2).cast("int")
-    blocks = m.select("url_hash", "language", F.explode(F.arrays_zip("sizes", "ratios")).alias("b")).select("url_hash", "language", F.col("b.sizes").alias("size"), F.col("b.ratios").alias("ratio"))
-    blocks = blocks.withColumn("length", usual_length(F.col("size")))
-    # (language, length) has under two hundred values whatever the corpus; a thin class falls back to all languages.
-    usual = blocks.groupBy("language", "length").agg(F.percentile_approx("ratio", 0.5, 10000).alias("own"), F.count("*").alias("n"))
-    general = blocks.groupBy("length").agg(F.percentile_approx("ratio", 0.5, 10000).alias("general"))
-    expected = usual.join(general, "length").select(
-        "language", "length", F.when((F.col("n") >= least_population) & (F.col("language") != "none"), F.col("own")).otherwise(F.col("general")).alias("expected")
-    )
-    index = blocks.join(F.broadcast(expected), ["language", "length"]).groupBy("url_hash").agg((F.sum(F.col("ratio") * F.col("size") / F.col("expected")) / F.sum("size")).alias("index"))
+    return spread(texts).mapInArrow(run, "url_hash string, language string, views array<int>, sizes array<int>, ratios array<double>, sentences double, marks double, top double, links double, chars bigint")
+
+
+def with_index(m: DataFrame, least_population: int = 30) -> DataFrame:
+    """Measures with the redundancy ``index`` of each page and that of its ``letters`` alone."""
+    blocks = m.select("url_hash", "language", F.explode(F.arrays_zip("views", "sizes", "ratios")).alias("b")).select("url_hash", "language", F.col("b.views").alias("view"), F.col("b.sizes").alias("size"), F.col("b.ratios").alias("ratio"))
+    blocks = blocks.withColumn("length", F.floor(F.log2(F.col("size").cast("double")) * 2).cast("int"))
+    # (view, language, length) has a few hundred values whatever the corpus; a thin class falls back to all languages, then to all lengths.
+    usual = blocks.groupBy("view", "language", "length").agg(F.percentile_approx("ratio", 0.5, 10000).alias("own"), F.count("*").alias("n"))
+    general = blocks.groupBy("view", "length").agg(F.percentile_approx("ratio", 0.5, 10000).alias("general"), F.count("*").alias("general_n"))
+    overall = blocks.groupBy("view").agg(F.percentile_approx("ratio", 0.5, 10000).alias("overall"))
+    enough = lambda n: F.col(n) >= least_population
+    chosen = F.when(enough("n") & (F.col("language") != "none"), F.col("own")).when(enough("general_n"), F.col("general")).otherwise(F.col("overall"))
+    expected = usual.join(F.broadcast(general), ["view", "length"]).join(F.broadcast(overall), "view").select("view", "language", "length", chosen.alias("expected"))
+    share = lambda view: F.sum(F.when(F.col("view") == view, F.col("ratio") * F.col("size") / F.col("expected"))) / F.sum(F.when(F.col("view") == view, F.col("size")))
+    index = blocks.join(F.broadcast(expected), ["view", "language", "length"]).groupBy("url_hash").agg(share(0).alias("letters"), share(1).alias("skeleton"))
+    return m.join(index.select("url_hash", "letters", F.least("letters", "skeleton").alias("index")), "url_hash")
+
+
+def stuffed_pages(content: DataFrame, pages: DataFrame, extreme: float = 0.88, repeated: float = 0.78, full_length: int = 400) -> DataFrame:
+    """(url_hash, index, sentences, marks, top, links, outlinks, language): the pages to leave out, with the measures that decided.
+
+    ``extreme`` is the index that flags a page of ``full_length`` characters or more, ``repeated`` that of the letters of templated sentences.
+    """
+    m = with_index(materialize(measures(content), "measures"))
     listed = pages.where(F.col("url_hash").isNotNull()).groupBy("url_hash").agg(F.max(F.greatest(F.coalesce("outlink_count", F.lit(0)), F.coalesce(F.size("outlinks"), F.lit(0)))).alias("outlinks"))
-    all_ = m.join(index, "url_hash").join(listed, "url_hash", "left").withColumn("outlinks", F.coalesce("outlinks", F.lit(0)))
-    bare = (F.col("sentences") < 0.35) & (F.col("marks") < 0.02)
-    allowed = F.when((F.col("links") > 0.2) | (F.col("outlinks") > 30), mild + 0.2).otherwise(F.lit(mild))
-    stuffed = (F.col("index") <= extreme) & (F.col("top") >= 0.5)
-    return all_.where((F.col("language") != "broken") & ((bare & (F.col("index") <= allowed)) | stuffed)).select("url_hash", "index", "sentences", "marks", "top", "links", "outlinks", "language").dropDuplicates(["url_hash"])
+    length = F.least(F.lit(1.0), F.pow(F.col("chars") / full_length, 0.3))
+    flagged = F.col("index") <= F.when(F.col("language") == "broken", 0.6).otherwise(extreme) * length
+    # Links need few marks to be a list; a page that links out of proportion to its words is held to the same.
+    few = F.when((F.col("links") > 0.2) | (F.col("outlinks") > 30), 0.04).otherwise(0.03)
+    unpunctuated = (F.col("sentences") < 0.5) & (F.col("marks") < few)
+    templated = (F.col("letters") <= repeated * length) & (F.col("top") >= 0.5)
+    found = m.where(flagged).join(listed, "url_hash", "left").withColumn("outlinks", F.coalesce("outlinks", F.lit(0)))
+    return found.where(unpunctuated | templated).select("url_hash", "index", "sentences", "marks", "top", "links", "outlinks", "language").dropDuplicates(["url_hash"])
