@@ -1,20 +1,24 @@
 """Main body of pages by consensus of host paths.
 
-A page's lines are its containers. Each gets a *path*: what is left of the line when case,
-blanks and digits are taken off, which generalises over pages as a tag-class path does.
-
-1. *Score.* Every page scores its lines on its own: where the title stands, what looks
-   like sentences, lists or tables, what phrases of menus, notices, sharing, counters, tags and legal
-   lines say in several languages, what stands under the heading of a list of other
-   articles. A line comes out sure or unsure.
-2. *Vote.* Spark sums the labels of all pages for each (host, path), and for each path over
-   all hosts.
-3. *Re-extract.* Unsure lines take the label that wins on their host, else the one that
-   wins over all hosts, else their own.
+A page's lines are its containers; the tables hold text without markup, so what generalises
+over pages are two *paths* of a line: its text without case, blanks and digits, and, for
+short lines, that text without capitalised words as well (names of sites, persons, places).
+
+1. *Score.* Every page scores its lines by their place and shape alone: what stands before the title or
+   after the last sentence, list or table speaks for the site; sentences, list items, table rows, what heads
+   them and what follows the title speak for the body.
+2. *Vote.* Spark sums the scores of all pages for each (host, path), for each path over all
+   hosts, and for each generalised path. A path that comes back on a host over different texts is the site's, sentences
+   included; copies of one text under one title count as one voice. List items, rows and bylines that recur stay body.
+3. *Re-extract.* Each page is read again with the winning paths: they're taken out first, then
+   what lies before the title, or after the last sentence left, goes too.
+
+Phrases of notices, menus and legal lines in several languages are a prior only: they mark a line where
+no vote does (a host of few pages); a vote for the body overrules them.
 
 Defined results: null content gives no row; blank lines are never listed; null titles are
 allowed; repeated rows of a page count once (latest content); pages without a host vote
-only over all hosts; extra columns are ignored.
+as one host; extra columns are ignored. Phrases with more than two lost characters aren't recognised by the prior.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlquarry.llm.encoding import READERS
-from crawlquarry.session import materialize
+from crawlquarry.session import broadcast_if_small, materialize, ship
 
 _N = r"\d[\d.,  ]*"
 #: Whole lines (lower case, blanks collapsed) that belong to the site around a text, by kind and language.
@@ -100,7 +104,7 @@ def _matches(what: re.Pattern, low: str, line: str) -> bool:
     """Whether a line, or what it was before a wrong decoding, is wholly of a kind. ``low`` is it in lower case with collapsed blanks."""
     if what.fullmatch(low):
         return True
-    return bool(not line.isascii() and len(line) < 200 and _STRAY.search(line)) and any(what.fullmatch(_SPACES.sub(" ", t.lower()).strip()) for t in _repaired(line))
+    return bool(not line.isascii() and _STRAY.search(line)) and any(what.fullmatch(_SPACES.sub(" ", t.lower()).strip()) for t in _repaired(line))
 
 
 #: Whether a line is the site's own, or a heading of a list; lines of sites recur, so most are looked up.
@@ -108,12 +112,10 @@ _known: dict[str, tuple[bool, bool]] = {}
 
 
 def _kind(low: str, line: str) -> tuple[bool, bool]:
-    if len(line) > 1000:  # text, whatever it says
-        return False, False
     found = _known.get(line)
     if found is None:
         chrome = _matches(_CHROME, low, line)
-        found = chrome, not chrome and len(line) < 80 and _matches(_RELATED, low, line)
+        found = chrome, not chrome and _matches(_RELATED, low, line)
         if len(line) < 120:
             if len(_known) > 200_000:
                 _known.clear()
@@ -132,7 +134,7 @@ def _title_at(lows: list[str], title: str | None, lines: list[str]) -> int | Non
     """Index of the line that is the page's title."""
     wanted = _SPACES.sub(" ", title).strip().lower() if title else ""
     crumb = None
-    for i, low in enumerate(lows[:30]):
+    for i, low in enumerate(lows):
         if not low:
             continue
         if crumb and low == crumb:
@@ -145,127 +147,183 @@ def _title_at(lows: list[str], title: str | None, lines: list[str]) -> int | Non
     return None
 
 
-def score_lines(content: str, title: str | None) -> list[tuple[int, int, bool]]:
-    """(label, line number, sure) of each line that isn't blank."""
+#: Bits of a line's shape.
+PROSE, ITEM, ROW, CRUMB, BY, MENU, CELLS, PRIOR = (1 << k for k in range(8))
+FIRM = PROSE | ITEM | ROW
+_TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]")
+_HAS_DIGIT = re.compile(r"\d")
+
+
+def _generalised(line: str) -> str:
+    """A line without digits and the capitalised words after its first."""
+    return " ".join(w.lower() for j, w in enumerate(_TOKENS.findall(line)) if not (j and w[0].isupper()))
+
+
+def outline(content: str, title: str | None, prior: bool = True) -> tuple[list[int], list[str], list[str], list[int], list[int], int, str]:
+    """Of the lines that aren't blank: (line numbers, paths, generalised paths, shapes, scores in tenths); then the place of the title among them (-1 if unknown) and what tells the text from others: its longest sentence line and its title."""
     raw = content.split("\n")
-    lines = [x.strip() for x in raw]
+    numbers = [i for i, x in enumerate(raw) if x.strip()]
+    lines = [raw[i].strip() for i in numbers]
     lows = [" ".join(x.split()).lower() for x in lines]
     n = len(lines)
-    kinds = [_kind(low, line) if low else (False, False) for low, line in zip(lows, lines)]
-    chrome, heads = [k[0] for k in kinds], [k[1] for k in kinds]
-    prose = [bool(x) and not chrome[i] and is_prose(x) for i, x in enumerate(lines)]
-    item = [bool(x) and not chrome[i] and bool(_ITEM.match(x)) for i, x in enumerate(lines)]
     cells = [x.count(" | ") for x in lines]
-    start = _title_at(lows, title, lines)
-    known = start is not None
-    if not known:
-        # The line before the first prose, list or byline that isn't the site's own opens the text.
-        first = next((i for i in range(n) if prose[i] or item[i]), None)
+    shapes = [0] * n
+    for i, x in enumerate(lines):
+        s = (PROSE if is_prose(x) else 0) | (ITEM if _ITEM.match(x) else 0)
+        if cells[i]:
+            # Rows of a table stand together; blank lines part tables.
+            near = [j for j in (i - 1, i + 1) if 0 <= j < n and abs(numbers[j] - numbers[i]) == 1 and cells[j] == cells[i]]
+            s |= CELLS if _HAS_DIGIT.search(x) else 0
+            s |= ROW if near and (s & CELLS or any(_HAS_DIGIT.search(lines[j]) for j in near)) else 0
+        if not s & FIRM:
+            s |= (CRUMB if _CRUMB.fullmatch(lows[i]) else 0) | (BY if _BYLINE.fullmatch(x) else 0) | (MENU if len([p for p in _MENU_CUT.split(raw[numbers[i]].strip()) if p]) >= 3 else 0)
+        if prior and any(_kind(lows[i], x)):
+            s |= PRIOR
+        shapes[i] = s
+    paths = [x.lower().translate(_OFF) for x in lines]
+    title_at = _title_at(lows, title, lines)
+    labels = extract(shapes, [bool(s & PRIOR) for s in shapes], -1 if title_at is None else title_at)
+    start, end = labels[1], labels[2]
+    scores = []
+    for i in range(n):
+        firm = shapes[i] & FIRM
+        before = shapes[i - 1] if i else 0
+        after = shapes[i + 1] if i + 1 < n else 0
+        if i < start:
+            score = 10 if title_at is not None else 5
+        elif firm or i == title_at or (i > start and before & (ITEM | ROW) and after & FIRM) or after & (ITEM | ROW) or (title_at is not None and i == start + 1 and after & PROSE):
+            score = -10
+        else:
+            score = 7 if i > end else 0
+        scores.append(max(score, 0) + 10 if shapes[i] & PRIOR else score)
+    general = ["" if s & FIRM else _generalised(x) for s, x in zip(shapes, lines)]
+    body = max((p for p, s in zip(paths, shapes) if s & PROSE), key=len, default="") + (lines[title_at] if title_at is not None else "")
+    return numbers, paths, general, shapes, scores, -1 if title_at is None else title_at, body
+
+
+def extract(shapes: list[int], site: list[bool], title_at: int) -> tuple[list[int], int, int]:
+    """(label of each line, first and last line of the body) of a page whose ``site`` lines are known."""
+    n = len(shapes)
+    start = title_at
+    if title_at < 0:
+        # The line before the first sentence, list or byline that isn't the site's own opens the text.
+        first = next((i for i in range(n) if shapes[i] & (PROSE | ITEM) and not site[i]), None)
         start = 0
         if first:
             for i in range(first - 1, -1, -1):
-                if not lines[i] or chrome[i]:
+                if site[i]:
                     continue
-                if _BYLINE.fullmatch(lines[i]) or (cells[i] and any(ch.isdigit() for ch in lines[i])):
+                if shapes[i] & (BY | CELLS):
                     start = i
                     continue
-                if _CRUMB.fullmatch(lows[i]) or len([p for p in _MENU_CUT.split(raw[i].strip()) if p]) >= 3:
-                    start = i + 1
-                    break
-                start = i
+                start = i + 1 if shapes[i] & (CRUMB | MENU) else i
                 break
             else:
                 start = first
-    table = [False] * n
-    for i in range(n):
-        if cells[i] and not chrome[i] and i >= start:
-            near = [j for j in (i - 1, i + 1) if 0 <= j < n and cells[j] == cells[i]]
-            table[i] = bool(near) and (any(ch.isdigit() for ch in lines[i]) or any(any(ch.isdigit() for ch in lines[j]) for j in near))
-    firm = [i for i in range(start, n) if prose[i] or item[i] or table[i]]
-    end = firm[-1] if firm else n - 1
-    out, listing = [], False
+    end = next((i for i in range(n - 1, start - 1, -1) if shapes[i] & FIRM and not site[i]), n - 1)
+    labels = []
     for i in range(n):
-        if not lines[i]:
-            continue
-        if chrome[i]:
-            # A short notice within a list of other articles doesn't end it.
-            out.append((SITE, i, True))
-            continue
-        if heads[i]:
-            listing = True
-            out.append((SITE, i, True))
-            continue
-        if i < start:
-            out.append((SITE, i, known or bool(_CRUMB.fullmatch(lows[i]))))
-            continue
-        if i == start:  # other pages of the host list it as one of theirs, here it's the title
-            out.append((BODY, i, True))
-            continue
-        if prose[i] or item[i] or table[i]:
-            listing = False
-            out.append((BODY, i, True))
-        elif listing:
-            out.append((SITE, i, True))
-        elif i > end:
-            out.append((SITE, i, False))
-        elif _CRUMB.fullmatch(lows[i]) and i <= start + 1:
-            out.append((SITE, i, True))
-        else:
-            out.append((BODY, i, bool(_BYLINE.fullmatch(lines[i])) and i <= start + 3))
-    return out
+        outside = i < start or i > end or site[i] or (shapes[i] & CRUMB and i <= start + 1)
+        labels.append(BODY if i == title_at or not outside else SITE)
+    return labels, start, end
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_64_intdigest
+_OUTLINE = "url_hash string, host string, title_at int, voice int, numbers array<int>, paths array<bigint>, general array<bigint>, shapes array<int>, scores array<int>"
 
-    for batch in batches:
-        keys, hosts, numbers, paths, labels, sures = [], [], [], [], [], []
-        for key, host, title, content in zip(*(c.to_pylist() for c in batch.columns)):
-            lines = content.split("\n")
-            for label, i, sure in score_lines(content, title):
-                h = xxh3_64_intdigest(lines[i].lower().translate(_OFF).encode("utf-8", "replace"))
-                keys.append(key)
-                hosts.append(host)
-                numbers.append(i)
-                paths.append(h - (1 << 63))
-                labels.append(label)
-                sures.append(sure)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array(hosts, pa.string()), pa.array(numbers, pa.int64()), pa.array(paths, pa.int64()), pa.array(labels, pa.int32()), pa.array(sures, pa.bool_())],
-            names=["url_hash", "host", "line_no", "path", "label", "sure"],
-        )
-
-
-def scored_lines(content: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url_hash, host, line_no, path, label, sure) of every line that isn't blank."""
+
+def _outlines(prior: bool):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(_OUTLINE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        hashed = lambda t: xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) if t else 0
+        for batch in batches:
+            rows = []
+            for key, host, title, content in zip(*(c.to_pylist() for c in batch.columns)):
+                numbers, paths, general, shapes, scores, title_at, body = outline(content, title, prior)
+                rows.append((key, host, title_at, hashed(body or key) % 64, numbers, [hashed(p) for p in paths], [hashed(g) for g in general], shapes, scores))
+            columns = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def outlines(content: DataFrame, pages: DataFrame, prior: bool = True) -> DataFrame:
+    """One row a page: its lines' paths, shapes and scores as arrays."""
+    ship(content.sparkSession)
     about = pages.where(F.col("url_hash").isNotNull()).groupBy("url_hash").agg(F.min(F.lower("host")).alias("host"), F.max_by("title", F.struct(F.col("title").isNotNull(), "crawled_at", "title")).alias("title"))
     # Keys are next to unique, so combining before the shuffle would only sort the texts once more.
     texts = content.where(F.col("url_hash").isNotNull() & F.col("content").isNotNull()).select("url_hash", "content", "updated_at").repartition("url_hash")
     texts = texts.groupBy("url_hash").agg(F.max_by("content", F.struct("updated_at", "content")).alias("content"))
-    joined = texts.join(about, "url_hash", "left").select("url_hash", "host", "title", "content")
-    return joined.mapInArrow(_score, "url_hash string, host string, line_no bigint, path bigint, label int, sure boolean")
-
-
-def site_lines(content: DataFrame, pages: DataFrame, least_votes: int = 3, majority: float = 0.67) -> DataFrame:
-    """(url_hash, line_no): the lines that aren't main body."""
-    lines = materialize(scored_lines(content, pages), "scored")
-    unsure = lines.where(~F.col("sure"))
-    asked = unsure.select("path").distinct()
-    votes = lines.join(asked, "path", "left_semi").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("label").alias("site"), F.sum(F.when(F.col("sure"), 1).otherwise(0)).alias("sure_n"), F.sum(F.when(F.col("sure"), F.col("label")).otherwise(0)).alias("sure_site"))
-    everywhere = votes.groupBy("path").agg(F.sum("n").alias("all_n"), F.sum("site").alias("all_site"), F.sum("sure_n").alias("all_sure_n"), F.sum("sure_site").alias("all_sure_site"))
-    # Sure labels of the same path outweigh unsure ones.
-    def verdict(n, site, sure_n, sure_site):
-        by_sure = F.when(sure_n >= least_votes, F.when(sure_site >= majority * sure_n, SITE).when(sure_site <= (1 - majority) * sure_n, BODY))
-        by_all = F.when(n >= least_votes, F.when(site >= majority * n, SITE).when(site <= (1 - majority) * n, BODY))
-        return F.coalesce(by_sure, by_all)
-
-    on_host = votes.select(F.col("host").alias("vote_host"), "path", verdict(F.col("n"), F.col("site"), F.col("sure_n"), F.col("sure_site")).alias("host_label"))
-    over_all = everywhere.select("path", verdict(F.col("all_n"), F.col("all_site"), F.col("all_sure_n"), F.col("all_sure_site")).alias("all_label"))
-    decided = (
-        unsure.join(on_host, (unsure.path == on_host.path) & unsure.host.eqNullSafe(on_host.vote_host), "left").drop(on_host.path)
-        .join(over_all, "path", "left").withColumn("label", F.coalesce("host_label", "all_label", "label"))
+    joined = texts.join(about, "url_hash", "left").select("url_hash", F.coalesce("host", F.lit("")).alias("host"), "title", "content")
+    return joined.mapInArrow(_outlines(prior), _OUTLINE)
+
+
+def winning_paths(lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, path, site): the paths that win a vote, for the site or for the body.
+
+    ``lines`` (host, path, general, shape, score, voice); ``sizes`` (host, pages). Different texts are
+    told by a bitmap of 64 voices, so a vote is one fixed-size aggregate however hot a host or path is.
+    """
+    one = lambda bit: F.sum(F.when(F.col("shape").bitwiseAND(bit) != 0, 1).otherwise(0))
+    votes = lines.groupBy("host", "path").agg(
+        F.count("*").alias("n"), F.sum("score").alias("score"), one(ITEM | ROW).alias("entries"), one(PROSE).alias("prose"), F.expr("bit_or(shiftleft(1L, voice))").alias("voices"), F.max("general").alias("general"),
+    )
+    votes = materialize(votes, "votes")
+    spoken = F.bit_count("voices")
+    mean = F.col("score") / F.col("n") / 10
+    entries, short = F.col("entries") * 2 > F.col("n"), F.col("prose") * 2 <= F.col("n")
+    total = [F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("entries").alias("entries"), F.sum("prose").alias("prose"), F.expr("bit_or(voices)").alias("voices"), F.count("*").alias("hosts")]
+    everywhere = votes.groupBy("path").agg(*total).where("hosts > 1")
+    over_all = F.when(entries, False).when(short & (mean <= -0.4), False).when((F.col("hosts") >= 3) & (spoken >= 5) & (short | (F.col("n") >= 3 * F.col("hosts"))), True)
+    everywhere = everywhere.select("path", over_all.alias("over_all")).where("over_all IS NOT NULL")
+    alike = votes.where("general <> 0").groupBy("general").agg(*total, F.expr("bit_count(bit_or(shiftleft(1L, cast(pmod(xxhash64(host), 64) as int))))").alias("different"))
+    alike = alike.where((F.col("different") >= 3) & (spoken >= 5) & (mean >= 0.3)).select("general", F.lit(True).alias("alike"))
+    share = F.col("n") / F.col("pages")
+    on_host = (
+        F.when(entries, False).when(short & (mean <= -0.4) & (F.col("n") >= 2), False)
+        .when((spoken >= 5) & (share >= 0.1), True).when((spoken >= 3) & ((mean >= 0.3) | (share >= 0.5)), True)
     )
-    return lines.where(F.col("sure") & (F.col("label") == SITE)).select("url_hash", "line_no").unionByName(decided.where(F.col("label") == SITE).select("url_hash", "line_no"))
+    decided = votes.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, "host").withColumn("on_host", on_host)
+    decided = decided.join(everywhere, "path", "left").join(alike, "general", "left")
+    return decided.select("host", "path", F.coalesce("on_host", "over_all", F.when((F.col("prose") == 0) & (F.col("entries") == 0), F.col("alike"))).alias("site")).where("site IS NOT NULL")
+
+
+def _relabel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, out = [], []
+        for key, title_at, numbers, shapes, won in zip(*(c.to_pylist() for c in batch.columns)):
+            verdict = {w["at"]: w["site"] for w in won or ()}
+            site = [verdict.get(i, bool(s & PRIOR)) for i, s in enumerate(shapes)]
+            found = [numbers[i] for i, label in enumerate(extract(shapes, site, title_at)[0]) if label == SITE]
+            keys += [key] * len(found)
+            out += found
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.int64())], names=["url_hash", "line_no"])
+
+
+def site_lines(content: DataFrame, pages: DataFrame, prior: bool = True, most_shared: int = 300_000, salts: int = 8) -> DataFrame:
+    """(url_hash, line_no): the lines that aren't main body.
+
+    Winning paths, one row a host and path, are broadcast where they're counted to be at most
+    ``most_shared``; beyond that they're joined, salted, as a path of a hot host is on each of its pages.
+    """
+    found = materialize(outlines(content, pages, prior).withColumn("id", F.monotonically_increasing_id()), "outlines")
+    sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
+    zipped = F.arrays_zip("paths", "general", "shapes", "scores")
+    lines = found.select("host", "voice", F.explode(zipped).alias("l")).select("host", "voice", F.col("l.paths").alias("path"), F.col("l.general").alias("general"), F.col("l.shapes").alias("shape"), F.col("l.scores").alias("score"))
+    won = materialize(winning_paths(lines, sizes).select(F.xxhash64("host", "path").alias("key"), "site"), "winners")
+    at = found.select("id", "host", F.posexplode("paths").alias("at", "path")).select("id", "at", F.xxhash64("host", "path").alias("key"))
+    shared, small = broadcast_if_small(won, most_shared)
+    if small:
+        hit = at.join(shared, "key")
+    else:
+        hit = at.withColumn("salt", F.pmod(F.col("id"), F.lit(salts))).join(won.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["key", "salt"])
+    per = hit.groupBy("id").agg(F.collect_list(F.struct("at", "site")).alias("won"))
+    return found.select("id", "url_hash", "title_at", "numbers", "shapes").join(per, "id", "left").drop("id").mapInArrow(_relabel, "url_hash string, line_no bigint")
 
 
 def main_bodies(content: DataFrame, pages: DataFrame) -> DataFrame:

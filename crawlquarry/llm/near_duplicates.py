@@ -12,7 +12,7 @@ signature slots); only pairs that pass go on to exact verification on their whol
 sets. A class is named by 64 bits of a hash of its words.
 
 Defined results: null or empty texts and texts under ``min_words`` words take no part;
-repeated rows of a key count once; keys with equal text are pairs of similarity 1; no
+of repeated rows of a key the greatest text counts; keys with equal text are pairs of similarity 1; no
 text is paired with itself; extra columns are ignored.
 """
 
@@ -43,7 +43,7 @@ class Settings:
     min_words: int = 5
     bands: int = 20
     rows: int = 8
-    block: int = 128
+    block: int = 512
     sketch: int = 96
 
     @property
@@ -143,8 +143,7 @@ def _signer(s: Settings, chunk: int = 128):
 
 def signatures(texts: DataFrame, s: Settings) -> DataFrame:
     """(key, id, sketch, bands) of each text that takes part; the last two are null where the task has given them for the same id."""
-    one = texts.where(F.col("key").isNotNull() & F.col("text").isNotNull()).select(F.col("key").cast("string").alias("key"), "text")
-    return spread(one, "key").mapInArrow(_signer(s), "key string, id bigint, sketch binary, bands array<bigint>")
+    return spread(texts, "key").mapInArrow(_signer(s), "key string, id bigint, sketch binary, bands array<bigint>")
 
 
 def _compare_blocks(s: Settings):
@@ -175,24 +174,29 @@ def _compare_blocks(s: Settings):
 
 
 def candidate_pairs(signed: DataFrame, s: Settings) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: classes that share a band and whose sketches agree enough."""
+    """(id_a, id_b), id_a < id_b: classes that share a band and whose sketches agree enough.
+
+    Bands travel as (band, id); sketches join only what shares a band with another class. The
+    classes of a band are cut into blocks, and every pair of blocks is a cell of its own key, so a
+    band that a third of all classes share is spread over as many tasks as it has cells.
+    """
     width = shuffle_width(signed.sparkSession)
     # One exchange serves both the search for shared bands and the join with them.
     rows = signed.select("id", F.explode("bands").alias("band")).repartition(width, "band")
-    shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("band")
-    members = rows.join(shared, "band").select("band", "id").distinct()
+    shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least <> most").select("band", F.ceil(F.col("n") / s.block).cast("long").alias("blocks"))
+    members = rows.join(shared, "band").select("band", "blocks", "id").distinct()
     sketches = signed.where(F.col("sketch").isNotNull()).select("id", "sketch").dropDuplicates(["id"])
-    members = materialize(members.join(sketches, "id"), "members")
-    size = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > s.block).withColumn("blocks", F.ceil(F.col("n") / s.block)).select("band", "blocks")
-    blocks = members.join(size, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    blocks = blocks.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("id", "sketch")).alias("m"))
+    members = members.join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # Block b takes part in the cells (least, greatest) of itself and every other block.
+    cells = members.select(
+        "band", "id", "sketch", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, block) AS row, greatest(x, block) AS col))")).alias("cell"),
+    ).select("band", F.col("cell.row").alias("row"), F.col("cell.col").alias("col"), "block", "id", "sketch")
+    side = lambda which: F.collect_list(F.when(F.col("block") == F.col(which), F.struct("id", "sketch")))
+    cells = cells.groupBy("band", "row", "col").agg(side("row").alias("l"), side("col").alias("r"))
     none = F.expr("cast(array() as array<struct<id:bigint,sketch:binary>>)")
-    within = blocks.where(F.size("m") > 1).select(F.lit(True).alias("same"), F.col("m").alias("l"), none.alias("r"))
-    large = blocks.where("blocks > 1")
-    other = large.select("band", F.col("block").alias("block_b"), F.col("m").alias("r"))
-    across = large.join(other, "band").where("block < block_b").select(F.lit(False).alias("same"), F.col("m").alias("l"), "r")
-    return within.unionByName(across).mapInArrow(_compare_blocks(s), "id_a bigint, id_b bigint").distinct()
+    same = F.col("row") == F.col("col")
+    pairs = cells.where((same & (F.size("l") > 1)) | (~same & (F.size("l") > 0) & (F.size("r") > 0)))
+    return pairs.select(same.alias("same"), "l", F.when(same, none).otherwise(F.col("r")).alias("r")).mapInArrow(_compare_blocks(s), "id_a bigint, id_b bigint").distinct()
 
 
 def _shingle_sets(s: Settings):
@@ -228,19 +232,30 @@ class NearDuplicates:
     pairs: DataFrame
 
 
+def one_text_a_key(texts: DataFrame) -> DataFrame:
+    """(key, text): one row a key, so that a class is verified on the very text it was made of.
+
+    Whether keys repeat is counted on the keys alone; only then are texts shuffled.
+    """
+    texts = texts.where(F.col("key").isNotNull() & F.col("text").isNotNull()).select(F.col("key").cast("string").alias("key"), "text")
+    repeated = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return texts if repeated.isEmpty() else texts.groupBy("key").agg(F.max("text").alias("text"))
+
+
 def near_duplicates(texts: DataFrame, s: Settings = Settings(), small: int = 200_000) -> NearDuplicates:
     """Classes of equal texts and the verified pairs between classes of ``texts`` (key, text).
 
     The texts to verify are fetched by a broadcast of their keys if these are counted to be
     at most ``small``, else by a shuffle.
     """
+    texts = one_text_a_key(texts)
     signed = materialize(signatures(texts, s), "signatures")
-    members = signed.select("key", "id").distinct()
+    members = signed.select("key", "id")
     found = materialize(candidate_pairs(signed, s), "candidates")
     wanted = found.select(F.col("id_a").alias("id")).union(found.select("id_b")).distinct()
     bodies = materialize(members.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("key").alias("key")), "wanted")
     bodies, _ = broadcast_if_small(bodies, small)
-    bodies = texts.where(F.col("text").isNotNull()).select(F.col("key").cast("string").alias("key"), "text").join(bodies, "key").select("id", "text").dropDuplicates(["id"])
+    bodies = texts.join(bodies, "key").select("id", "text")
     sets = materialize(bodies.mapInArrow(_shingle_sets(s), "id bigint, set binary"), "sets")
     checked = (
         found.join(sets.select(F.col("id").alias("id_a"), F.col("set").alias("set_a")), "id_a")
@@ -251,24 +266,22 @@ def near_duplicates(texts: DataFrame, s: Settings = Settings(), small: int = 200
     return NearDuplicates(members, checked)
 
 
-def key_pairs(found: NearDuplicates, expand: int = 2000) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: the pairs of keys.
+def key_pairs(found: NearDuplicates) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: the pairs of keys, a number linear in the copies at every size.
 
-    Copies are expanded into all pairs while a class has at most ``expand`` of them. A larger
-    class is given by its least key: each other copy is a pair with it, and it alone stands for
-    the class in pairs between classes, so no link between different texts is lost and no
-    group of copies grows quadratically.
+    A class is represented by its least key. Each other copy is a pair with it; and for two similar classes each
+    copy of the one is a pair with the representative of the other. So no link between different texts
+    is lost, pairs of classes of up to two copies are all there but one, and no group of copies grows quadratically.
     """
-    size = found.members.groupBy("id").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
-    members = found.members.join(size, "id")
-    shown = members.where((F.col("copies") <= expand) | (F.col("key") == F.col("least"))).select("id", "key", "copies")
-    a = shown.select(F.col("key").alias("ka"), F.col("id").alias("id_a"))
-    b = shown.select(F.col("key").alias("kb"), F.col("id").alias("id_b"))
-    between = found.pairs.join(a, "id_a").join(b, "id_b").select("ka", "kb")
-    few = shown.where(F.col("copies").between(2, expand))
-    all_ = few.select("id", F.col("key").alias("ka")).join(few.select("id", F.col("key").alias("kb")), "id").where("ka < kb").select("ka", "kb")
-    star = members.where((F.col("copies") > expand) & (F.col("key") != F.col("least"))).select(F.col("least").alias("ka"), F.col("key").alias("kb"))
-    return between.unionByName(all_).unionByName(star).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+    least = found.members.groupBy("id").agg(F.min("key").alias("least"))
+    members = materialize(found.members.join(least, "id"), "classes")
+    linked = materialize(found.pairs.select("id_a", "id_b"), "pairs")
+    both = linked.unionByName(linked.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    others = members.where(F.col("key") == F.col("least")).select(F.col("id").alias("id_b"), F.col("least").alias("kb"))
+    # The pair of two representatives is given from one side only.
+    between = members.join(both.join(others, "id_b").select(F.col("id_a").alias("id"), "id_b", "kb"), "id").where((F.col("key") != F.col("least")) | (F.col("id") < F.col("id_b"))).select(F.col("key").alias("ka"), "kb")
+    star = members.where(F.col("key") != F.col("least")).select(F.col("least").alias("ka"), F.col("key").alias("kb"))
+    return between.unionByName(star).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
 def _local_union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

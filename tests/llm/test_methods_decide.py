@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import residue, stuffing
+from crawlquarry.llm import mainbody, residue, stuffing
 from tests.llm.test_text_operators import PROSE, content, pages
 
 VERSE = "\n".join(f"{a} the {b} by the {c} where {d} lay\nand no one in {b} would ever say" for a, b, c, d in (("Over", "river", "old stone mill", "morning"), ("Under", "harbour", "north gate", "barley"), ("Beyond", "valley", "quiet weir", "lanterns"), ("Along", "orchard", "crooked lane", "winter")))
@@ -58,3 +58,53 @@ def test_long_placeholders_and_filler_through_the_automaton():
     latin = "Lorem ipsum dolor sitam amet elitam nulla labor velit"
     assert residue.examine(latin, a)[3] > 0.8 and residue.examine(PROSE, a)[3] == 0.0
     assert residue.examine("undefined undefined\nPrice: NaN\nSold by null (x)", a)[2] > 0.5
+
+
+# --- main body
+
+NOTES = ("Subscribe to our weekly digest.", "Manage your cookie choices here.", "Condividi questo articolo.", "All rights belong to the people of this small town paper.")
+PLACES = ("Ronby", "Telmar", "Orvik", "Pelham", "Zunda", "Garvil", "Hestrin", "Jolka", "Wendel", "Brixa")
+
+
+def _site(i):
+    """A page whose site lines are no known phrases; two of them stand between sentences."""
+    p = PLACES[i % len(PLACES)]
+    return "\n".join([
+        "Lamps  Boats  Kilns", f"The {i} boats of {p}", f"Old boats of {p} were counted {i} times over the winter, as the harbour of {p} had room.", NOTES[0],
+        f"Nobody in {p} had asked for a second count of the {p} boats, but it was made.", NOTES[1], f"A third one is planned by {p} for the year {1900 + i}.", NOTES[2], NOTES[3],
+    ])
+
+
+def test_consensus_finds_site_lines_that_no_phrase_names(spark):
+    rows = [(f"p{i}", _site(i)) for i in range(10)]
+    p = pages(spark, [(f"p{i}", f"The {i} boats of {PLACES[i]}") for i in range(10)])
+    want = {(f"p{i}", n) for i in range(10) for n in (0, 3, 5, 7, 8)}
+    got = {tuple(r) for r in mainbody.site_lines(content(spark, rows), p).collect()}
+    assert got == want
+    assert got == {tuple(r) for r in mainbody.site_lines(content(spark, rows), p, prior=False).collect()}
+    # The salted join beyond the broadcast gives the same.
+    assert got == {tuple(r) for r in mainbody.site_lines(content(spark, rows), p, most_shared=0).collect()}
+
+
+def test_without_votes_sentences_of_the_site_stay(spark, monkeypatch):
+    rows = [(f"p{i}", _site(i)) for i in range(10)]
+    p = pages(spark, [(f"p{i}", f"The {i} boats of {PLACES[i]}") for i in range(10)])
+    real = mainbody.winning_paths
+    monkeypatch.setattr(mainbody, "winning_paths", lambda lines, sizes: real(lines, sizes).where("false"))
+    got = {tuple(r) for r in mainbody.site_lines(content(spark, rows), p).collect()}
+    assert ("p3", 0) in got and not {("p3", 3), ("p3", 5), ("p3", 8)} & got
+
+
+def test_copies_of_one_text_are_one_voice(spark):
+    rows = [(f"p{i}", _site(1)) for i in range(12)]
+    p = pages(spark, [(f"p{i}", "The 1 boats of Telmar") for i in range(12)])
+    got = {n for _, n in mainbody.site_lines(content(spark, rows), p).collect()}
+    assert not got & {1, 2, 4, 6}
+
+
+def test_titles_beyond_the_thirtieth_line_and_long_lines():
+    menu = "\n".join(f"Entry {chr(97 + i % 26)}{i}" for i in range(45))
+    numbers, _, _, _, _, at, _ = mainbody.outline(menu + "\nA quiet mill\n" + PROSE, "A quiet mill - Some Site")
+    assert numbers[at] == 45
+    shapes = mainbody.outline("We use cookies " + "and more " * 300 + "here.", None)[3]
+    assert shapes[0] & mainbody.PRIOR

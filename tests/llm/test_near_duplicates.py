@@ -63,14 +63,36 @@ def test_large_classes_are_stars(spark):
     texts = corpus(4)
     rows = list(texts.items()) + [(f"z{i}", texts["g0v0"]) for i in range(9)]
     found = nd.near_duplicates(spark.createDataFrame(rows, "key string, text string"), S)
-    every = {tuple(r) for r in nd.key_pairs(found).collect()}
-    star = {tuple(r) for r in nd.key_pairs(found, expand=5).collect()}
+    listed = [tuple(r) for r in nd.key_pairs(found).collect()]
+    every, star = brute(dict(rows)), set(listed)
+    assert len(listed) == len(star)
+    # The same form at every size: each copy with the least key, and both with the texts they resemble.
     copies = {"g0v0", "copy", *(f"z{i}" for i in range(9))}
     least = min(copies)
     assert {p for p in star if set(p) <= copies} == {tuple(sorted((least, c))) for c in copies - {least}}
-    assert {p for p in star if not set(p) & copies} == {p for p in every if not set(p) & copies}
+    apart = {p for p in every if not set(p) & copies}
+    assert {p for p in star if not set(p) & copies} <= apart and len(apart - star) <= 0.02 * len(apart)
     linked = {x for p in every if len(set(p) & copies) == 1 for x in set(p) - copies}
     assert linked and {x for p in star if least in p for x in set(p) - copies} == linked
+    assert {p for p in star if len(set(p) & copies) == 1} == {p for p in every if len(set(p) & copies) == 1}
+
+
+def test_a_key_with_two_texts_is_verified_on_one(spark):
+    texts = corpus(5)
+    rows = [("k", texts["g2v0"]), ("k", texts["g3v0"]), ("a", texts["g2v0"]), ("b", texts["g3v0"]), ("k", None)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "key string, text string"), S)
+    partner = "a" if texts["g2v0"] > texts["g3v0"] else "b"
+    assert [tuple(r) for r in nd.key_pairs(found).collect()] == [tuple(sorted((partner, "k")))]
+
+
+def test_one_band_over_all_texts_is_spread(spark):
+    # Every class shares a band; the cells of the grid bound what one task compares.
+    s = nd.Settings(width=3, threshold=0.6, min_words=3, bands=2, rows=2, block=16, sketch=4)
+    rows = [(i, bytes([i % 5, i % 3, 7, 7]), [42, 1000 + i]) for i in range(200)]
+    signed = spark.createDataFrame(rows, "id long, sketch binary, bands array<long>")
+    got = {tuple(r) for r in nd.candidate_pairs(signed, s).collect()}
+    alike = lambda a, b: sum(x == y for x, y in zip(rows[a][1], rows[b][1])) >= s.sketch_matches()
+    assert got == {(a, b) for a in range(200) for b in range(a + 1, 200) if alike(a, b)}
 
 
 def test_superminhash_estimates_and_blocks():
