@@ -180,6 +180,45 @@ def css_column(html, selector: str, attribute: str | None = None):
     return run(html)
 
 
+def css_first(html, selector: str, attribute: str | None = None):
+    """The first of css(), null if there is none."""
+    return F.get(css_column(html, selector, attribute), F.lit(0))
+
+
+def extract_all(html, selectors: dict[str, str]):
+    """map<string,array<string>> of css() for each named selector; a page is parsed once for all of them."""
+
+    @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+    def run(h: pd.Series) -> pd.Series:
+        def one(x):
+            root = parse(x)
+            return {name: [v for v in ("".join(n.texts()).strip() for n in select(root, selector)) if v] for name, selector in selectors.items()}
+
+        return h.map(one)
+
+    return run(html)
+
+
+def _elements(html, tag: str, needed: str, describe):
+    @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    def run(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: [describe(n) for n in parse(x).walk() if n.tag == tag and needed in n.attrs])
+
+    return run(html)
+
+
+def links_column(html):
+    """array of (href, text) of every anchor with a href, as it is written."""
+    found = _elements(html, "a", "href", lambda n: {"href": n.attrs["href"], "text": "".join(n.texts()).strip()})
+    return F.transform(found, lambda m: F.struct(m["href"].alias("href"), m["text"].alias("text")))
+
+
+def images_column(html):
+    """array of (src, alt) of every image with a src; a missing alt is ''."""
+    found = _elements(html, "img", "src", lambda n: {"src": n.attrs["src"], "alt": n.attrs.get("alt", "")})
+    return F.transform(found, lambda m: F.struct(m["src"].alias("src"), m["alt"].alias("alt")))
+
+
 def body_text(html):
     """Text of the body without separators, '' if there is none."""
 

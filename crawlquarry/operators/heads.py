@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crawlquarry.functions import policy
+from crawlquarry.operators import skew
 
 
 def with_host_state(queue: DataFrame, host_state: DataFrame) -> DataFrame:
@@ -69,13 +70,14 @@ def read_heads(heads: DataFrame, now: float, limit: int = 128) -> DataFrame:
 
 
 def overcrowded(queue: DataFrame, per_host: int, per_branch: int) -> DataFrame:
-    """Rows beyond the quota of their host or branch, with both ranks. Both windows share one exchange on host."""
-    order = [F.desc("scheduler_score"), "next_fetch_at", "added_at", "url", "physical_queue"]
-    ranked = queue.withColumns({
-        "host_rank": F.row_number().over(Window.partitionBy("host").orderBy(*order)),
-        "branch_rank": F.row_number().over(Window.partitionBy("host", "branch_key").orderBy(*order)),
-    })
-    return ranked.where((F.col("host_rank") > per_host) | (F.col("branch_rank") > per_branch)).select("url", "host", "branch_key", "physical_queue", "host_rank", "branch_rank")
+    """Rows beyond the quota of their host or branch, with both ranks.
+
+    Both ranks come from one range partitioning by host and order, so a hot host is spread.
+    """
+    order = [F.desc("scheduler_score"), F.asc("next_fetch_at"), F.asc("added_at"), F.asc("url"), F.asc("physical_queue")]
+    parts = skew.in_ranges(queue, "host", order)
+    rows = skew.ranked(skew.ranked(parts, ["host"], order, "host_rank"), ["host", "branch_key"], order, "branch_rank")
+    return rows.where((F.col("host_rank") > per_host) | (F.col("branch_rank") > per_branch)).select("url", "host", "branch_key", "physical_queue", "host_rank", "branch_rank")
 
 
 def top_per_host(rows: DataFrame, order: list, per_host: int) -> DataFrame:
@@ -111,3 +113,14 @@ def better_offers(batch: DataFrame, heads: DataFrame) -> DataFrame:
     new = F.struct(F.col("next_fetch_at").alias("a"), F.col("added_at").alias("b"), (-F.col("scheduler_score")).alias("c"), F.col("url").alias("d"))
     old = F.struct(F.col("head_next_fetch_at").alias("a"), F.col("head_added_at").alias("b"), (-F.col("head_scheduler_score")).alias("c"), F.col("head_url").alias("d"))
     return j.where(F.col("head_url").isNull() | (new < old)).select("physical_queue", "host", F.col("url").alias("head_url"), F.col("group_rows").alias("runnable_url_count"))
+
+
+def refreshed_heads(heads: DataFrame, dirty: DataFrame, queue: DataFrame, host_state: DataFrame, host_ledger: DataFrame, now: float) -> DataFrame:
+    """Heads after the (physical_queue, host) pairs of ``dirty`` are worked out again; all others stay as they are.
+
+    Only the queue rows of dirty hosts are read into the aggregation; a dirty host without rows loses its head.
+    """
+    marks = dirty.select("physical_queue", "host").distinct()
+    key = ["physical_queue", "host"]
+    again = host_heads(queue.join(marks, key, "left_semi"), host_state, host_ledger, now)
+    return heads.join(marks, key, "left_anti").unionByName(again)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlquarry.functions import urls
 from crawlquarry.session import materialize
 
+#: Endings of paths that a link check goes into.
+PAGE_ENDINGS = ("/", ".html", ".htm", ".php", ".asp", ".aspx")
+
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(url, depth): breadth-first reach of ``seeds`` (url) over ``edges`` (source, target), at most ``depth`` steps."""
@@ -22,6 +26,29 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def recursable(url: str, base: str) -> Column:
+    """Whether a link check goes on from ``url``: on the host and port of ``base``, with an empty path or one that ends like a page's."""
+    path = F.lower(urls.path(url))
+    ends = path == ""
+    for e in PAGE_ENDINGS:
+        ends = ends | path.endswith(e)
+    return (urls.netloc(url) == urls.netloc(base)) & ends
+
+
+def check_reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(url, depth): what a recursive link check looks at. Every link of a visited page is checked; only recursable ones are visited in turn."""
+    e = edges.select("source", "target").distinct().withColumn("onward", recursable("target", "source"))
+    seen = materialize(seeds.select("url").distinct().withColumns({"depth": F.lit(0), "onward": F.lit(True)}), "reach")
+    for step in range(1, depth + 1):
+        front = seen.where((F.col("depth") == step - 1) & F.col("onward")).select(F.col("url").alias("source"))
+        found = e.join(front, "source", "left_semi").groupBy(F.col("target").alias("url")).agg(F.bool_or("onward").alias("onward"))
+        new = materialize(found.join(seen.select("url"), "url", "left_anti").select("url", F.lit(step).alias("depth"), "onward"), "reach")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return seen.select("url", "depth")
+
+
 def check_summary(checks: DataFrame, status: str) -> DataFrame:
     """One row: links by outcome."""
     s = F.col(status)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import content, policy
+from crawlquarry.operators import skew
 from crawlquarry.operators.frontier import QUEUES, Snapshot
 from crawlquarry.operators.heads import is_runnable, with_host_state
+from crawlquarry.session import materialize
 
 INTENTS = ("explore", "refresh", "retry")
 
@@ -108,11 +110,15 @@ def budget_summary(slow: DataFrame) -> DataFrame:
 
 
 def timing_summary(samples: DataFrame, stage: str, value: str) -> DataFrame:
-    """Count, mean, nearest-rank percentiles and maximum of each stage."""
-    return samples.where(F.col(value).isNotNull()).groupBy(F.col(stage).alias("stage")).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 4).alias("avg_ms"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}`)").alias("p50_ms"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{value}`)").alias("p95_ms"), F.max(value).alias("max_ms"),
-    )
+    """Count, mean, nearest-rank percentiles and maximum of each stage.
+
+    Samples are weighted values first, so a stage that holds most of them isn't one buffer.
+    """
+    known = samples.where(F.col(value).isNotNull())
+    weighted = materialize(skew.weighted_values(known, F.col(stage), F.col(value)), "weighted")
+    middle = skew.percentiles(weighted, {"p50_ms": 0.5, "p95_ms": 0.95})
+    per = weighted.groupBy("key").agg(F.sum("weight").alias("n"), F.round(F.sum(F.col("value") * F.col("weight")) / F.sum("weight"), 4).alias("avg_ms"), F.max("value").alias("max_ms"))
+    return per.join(middle, "key").select(F.col("key").alias("stage"), "n", "avg_ms", "p50_ms", "p95_ms", "max_ms")
 
 
 def effective_states(s: Snapshot) -> DataFrame:
@@ -128,10 +134,17 @@ def effective_states(s: Snapshot) -> DataFrame:
 
 
 def daemon_readiness(heads: DataFrame, s: Snapshot) -> DataFrame:
-    """One row from the heads alone: pending URLs, hosts that can run, shortest wait, quarantined URLs."""
+    """One row from the heads alone: pending URLs, hosts that can run, shortest wait, quarantined URLs, and where the numbers come from.
+
+    Where there are neither heads nor quarantined URLs the pending ones are counted themselves.
+    """
     wait = F.greatest(F.col("runnable_at") - s.now, F.lit(0.0))
-    summary = heads.agg(F.coalesce(F.sum("runnable_url_count"), F.lit(0)).cast("long").alias("pending"), F.countDistinct(F.when(F.col("runnable_at") <= s.now, F.col("host"))).alias("runnable_hosts"), F.min(wait).alias("next_delay"))
-    return summary.withColumn("quarantined", s.blocked.agg(F.count("*").alias("n")).scalar())
+    summary = heads.agg(F.coalesce(F.sum("runnable_url_count"), F.lit(0)).cast("long").alias("headed"), F.countDistinct(F.when(F.col("runnable_at") <= s.now, F.col("host"))).alias("runnable_hosts"), F.min(wait).alias("next_delay"))
+    # Three rows of totals; joining them isn't a product of data.
+    blocked, pending = s.blocked.agg(F.count("*").alias("n")).scalar(), s.pending.agg(F.count("*").alias("n")).scalar()
+    counted = summary.withColumn("quarantined", blocked).withColumn("counted", pending)
+    fallback = (F.col("headed") == 0) & (F.col("quarantined") == 0)
+    return counted.select(F.when(fallback, F.col("counted")).otherwise(F.col("headed")).alias("pending"), "runnable_hosts", "next_delay", "quarantined", F.when(fallback, "counts").otherwise("heads").alias("source"))
 
 
 def observation(s: Snapshot, pages: DataFrame) -> DataFrame:
@@ -143,3 +156,35 @@ def observation(s: Snapshot, pages: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def safely(sections: dict[str, object]) -> tuple[DataFrame | None, list[str]]:
+    """((section, json) of the sections that could be worked out, names of those that failed).
+
+    A section is a function without arguments that gives a small report; one that fails leaves the others standing.
+    """
+    done, failed = None, []
+    for name, build in sections.items():
+        try:
+            part = materialize(build().agg(F.collect_list(F.struct("*")).alias("rows")).select(F.lit(name).alias("section"), F.to_json("rows").alias("json")), "section")
+        except Exception:  # whatever a report runs into, the rest is shown
+            failed.append(name)
+            continue
+        done = part if done is None else done.unionByName(part)
+    return done, failed
+
+
+def operator_summary(s: Snapshot, pages: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row: what an operator looks at first, each figure from the cheapest relation that has it."""
+    states = durable_state_counts(s)
+    of = lambda *k: F.coalesce(F.sum(F.when(F.col("state").isin(*k), F.col("n"))), F.lit(0)).cast("long")
+    totals = states.agg(of(*QUEUES).alias("pending"), of("leased").alias("leased"), of("blocked").alias("blocked"), of("terminal").alias("terminal"), of("done").alias("done"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))
+    p = page_totals(pages).select("pages", F.col("hosts").alias("page_hosts"), F.col("last_crawl").alias("last_crawl_at"))
+    r = daemon_readiness(heads, s).select("runnable_hosts", "next_delay", F.col("source").alias("readiness_source"))
+    e = error_breakdown(s).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("active_errors"))
+    one = F.lit(1)
+    out = totals.withColumn("one_", one)
+    for part in (p, r, e):  # each is one row
+        out = out.join(F.broadcast(part.withColumn("one_", one)), "one_")
+    health = F.when(F.col("runnable_hosts") > 0, "ready").when(F.col("pending") > 0, "waiting").when(F.col("blocked") > 0, "blocked").otherwise("idle")
+    return out.drop("one_").withColumn("health", health)

@@ -51,6 +51,43 @@ def percentiles(weighted: DataFrame, points: dict[str, float]) -> DataFrame:
     return cum.groupBy("key").agg(*found)
 
 
+def in_ranges(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``df`` with ``part``, the number of its range of (key, order): rows of a hot key lie in as many parts as it needs, in order of the parts.
+
+    Written, since part numbers must not change between uses.
+    """
+    return materialize(df.repartitionByRange(shuffle_width(df.sparkSession), F.col(key), *order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def _with_before(parts: DataFrame, keys: list[str], amount: Column, name: str, how) -> DataFrame:
+    """``parts`` with ``name``: what ``how`` makes of ``amount`` over the earlier parts of the same keys (null if there are none)."""
+    per = parts.groupBy(*keys, "part").agg(amount.alias("amount_"))
+    earlier = per.withColumn(name, how(F.col("amount_")).over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    right = earlier.select(*[F.col(k).alias(f"{k}_r") for k in keys], F.col("part").alias("part_r"), name)
+    same = parts["part"] == right["part_r"]
+    for k in keys:
+        same = same & parts[k].eqNullSafe(right[f"{k}_r"])
+    return parts.join(right, same, "left").drop(*[f"{k}_r" for k in keys], "part_r")
+
+
+def ranked(parts: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """row_number over (keys, order) of a table from ``in_ranges`` whose key is among ``keys`` and whose order is the same.
+
+    Rows are numbered inside their part and moved up by the rows of earlier parts, so no key is in one task.
+    """
+    moved = _with_before(parts, keys, F.count("*"), "before_", F.sum)
+    local = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))
+    return moved.withColumn(name, (local + F.coalesce("before_", F.lit(0))).cast("int")).drop("before_")
+
+
+def running_max(parts: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """Greatest ``value`` up to each row, over parts in the same way."""
+    parts = parts.withColumn("value_", value)
+    moved = _with_before(parts, keys, F.max("value_"), "before_", F.max)
+    local = F.max("value_").over(Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return moved.withColumn(name, F.greatest(local, "before_")).drop("before_", "value_")
+
+
 def heavy_keys(df: DataFrame, key: Column, value: Column, least_share_percent: int) -> DataFrame:
     """(key, distinct): keys with at least that share of all distinct values."""
     weighted = weighted_values(df, key, value).where(F.col("value").isNotNull())

@@ -85,10 +85,13 @@ def page_get(spark, d):
     return stores.with_bodies(_pages(spark, d), table(spark, d, "page_content")).select("url_hash", "title", "content")
 
 
-@query("pages_upsert", f"WITH {S.PAGES}, first AS (SELECT url_hash, min(created_at) AS created_at FROM pages WHERE url_hash IS NOT NULL GROUP BY url_hash) SELECT pg.url_hash, pg.status, pg.crawled_at, pg.storage_tier, first.created_at FROM pg JOIN first USING (url_hash)")
+@query("pages_upsert", f"""WITH {S.PAGES}, first AS (SELECT url_hash, min(created_at) AS created_at, arg_min(url, (created_at, crawled_at, url, host)) AS url, arg_min(lower(host), (created_at, crawled_at, url, host)) AS host FROM pages WHERE url_hash IS NOT NULL GROUP BY url_hash)
+    SELECT pg.url_hash, first.url, first.host, pg.status, pg.crawled_at, pg.storage_tier, first.created_at FROM pg JOIN first USING (url_hash)""")
 def pages_upsert(spark, d):
+    """All pages, those of one half of the keys' crawls saved before the others."""
     raw = table(spark, d, "pages")
-    return stores.upsert_pages(raw.limit(0), raw).select("url_hash", "status", "crawled_at", "storage_tier", "created_at")
+    earlier = F.pmod(F.xxhash64("url_hash", "crawled_at"), F.lit(2)) == 0
+    return stores.upsert_pages(raw.where(earlier), raw.where(~earlier)).select("url_hash", "url", "host", "status", "crawled_at", "storage_tier", "created_at")
 
 
 @query("results_jsonl")
@@ -214,7 +217,7 @@ def needs_browser(spark, d):
     return _html(spark, d).select("url_hash", content.needs_browser("html").alias("needs"))
 
 
-@query("anchors")
+@query("anchors", f"WITH {S.PAGES}, n AS (SELECT url_hash, unnest(outlinks) AS u, unnest(range(len(outlinks))) AS i FROM pg WHERE outlinks IS NOT NULL) SELECT url_hash, CAST(i AS INT) AS position, {S.normalize('u')} AS link, trim(u) AS text FROM n")
 def anchors(spark, d):
     return html.anchor_rows(_html(spark, d))
 
@@ -225,7 +228,7 @@ def outlinks(spark, d):
     return html.outlinks(html.anchor_rows(_html(spark, d)))
 
 
-@query("link_refs")
+@query("link_refs", f"WITH {S.PAGES}, n AS (SELECT url_hash, unnest(outlinks) AS u FROM pg WHERE outlinks IS NOT NULL) SELECT url_hash, {S.normalize('u')} AS link, substr(trim(u), 1, 100) AS text FROM n")
 def link_refs(spark, d):
     a = html.anchor_rows(_html(spark, d))
     return a.select("url_hash", "link", F.substring("text", 1, 100).alias("text"))
@@ -481,7 +484,9 @@ def inv_too_long(spark, d):
 def _scored(spark, d):
     seeds = table(spark, d, "url_ledger").where("source_url IS NULL AND host IS NOT NULL").select(F.lower("host").alias("host")).distinct()
     context = discovery.host_contexts(table(spark, d, "host_ledger").withColumn("host", F.lower("host")), frontier.host_states(table(spark, d, "host_state")))
-    return discovery.scored_links(discovery.page_links(_pages(spark, d)), seeds, context)
+    # The tables hold no meta robots; pages with an error status stand for those that say nofollow.
+    pages = _pages(spark, d).withColumn("meta_robots", F.when(F.col("status") >= 400, "noindex, NoFollow"))
+    return discovery.scored_links(discovery.page_links(pages), seeds, context)
 
 
 _CONTROL = discovery.control(S.PENDING, S.TARGET)
@@ -513,18 +518,27 @@ def admission_caps(spark, d):
     return discovery.capped_links(discovery.decided_links(_scored(spark, d), _CONTROL), _CONTROL).select("page", "url", "r", "outcome")
 
 
-@query("admission_counts", f"WITH {S.LINKS} SELECT reason, count(*) AS n FROM decided WHERE reason <> 'candidate' GROUP BY 1 UNION ALL SELECT outcome, count(*) FROM capped GROUP BY 1")
+@query("admission_counts", f"WITH {S.LINKS} SELECT reason, count(*) AS n FROM decided WHERE reason <> 'candidate' GROUP BY 1 UNION ALL SELECT outcome, count(*) FROM capped GROUP BY 1 UNION ALL SELECT 'external_generic', count(*) FROM capped WHERE outcome = 'admitted' AND archetype = 'generic_page' AND host <> '' AND host <> parent_host AND NOT is_seed HAVING count(*) > 0")
 def admission_counts(spark, d):
     decided = materialize(discovery.decided_links(_scored(spark, d), _CONTROL), "decided")
     return discovery.admission_counts(decided, discovery.capped_links(decided, _CONTROL))
 
 
-@query("admission_summary", f"WITH {S.LINKS}, a AS (SELECT count(*) AS extracted FROM decided), b AS (SELECT count(*) FILTER (outcome = 'admitted') AS admitted FROM capped) SELECT extracted, admitted, extracted - admitted AS rejected, round(CAST(admitted AS DOUBLE) / extracted, 4) AS ratio FROM a, b")
+@query("admission_summary", f"WITH {S.LINKS}, a AS (SELECT count(*) AS extracted FROM decided), b AS (SELECT count(*) FILTER (outcome = 'admitted') AS admitted, count(*) FILTER (outcome = 'admitted' AND archetype = 'generic_page' AND host <> '' AND host <> parent_host AND NOT is_seed) AS external_generic FROM capped) SELECT extracted, admitted, extracted - admitted AS rejected, external_generic, round(CAST(admitted AS DOUBLE) / extracted, 4) AS ratio FROM a, b")
 def admission_summary(spark, d):
     decided = materialize(discovery.decided_links(_scored(spark, d), _CONTROL), "decided")
-    c = discovery.admission_counts(decided, discovery.capped_links(decided, _CONTROL))
-    admitted = F.coalesce(F.sum(F.when(F.col("reason") == "admitted", F.col("n"))), F.lit(0))
-    return c.agg(F.sum("n").alias("extracted"), admitted.alias("admitted")).select("extracted", "admitted", (F.col("extracted") - F.col("admitted")).alias("rejected"), F.round(F.col("admitted") / F.col("extracted"), 4).alias("ratio"))
+    return discovery.admission_summary(discovery.admission_counts(decided, discovery.capped_links(decided, _CONTROL)))
+
+
+@query("parent_context", f"WITH {S.LINKS} SELECT DISTINCT page, CASE WHEN nofollow THEN 'nofollow' WHEN parent_archetype IN ('registry_listing', 'redirect_hub') THEN 'low_signal' ELSE 'generic' END AS context FROM links")
+def parent_context(spark, d):
+    return _scored(spark, d).select("page", discovery.parent_context().alias("context")).distinct()
+
+
+@query("admission_scoped", f"WITH {S.LINKS} SELECT CASE WHEN regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1) <> regexp_extract(parent_url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1) THEN 'scope_filtered' ELSE reason END AS reason, count(*) AS n FROM decided GROUP BY 1")
+def admission_scoped(spark, d):
+    """Reasons where a crawl keeps to the hosts it started at."""
+    return discovery.decided_links(_scored(spark, d), _CONTROL, same_host=True).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("page_outlinks", f"WITH {S.LINKS} SELECT pages_.page, pages_.outlink_count, coalesce(a.outlinks, []) AS outlinks FROM (SELECT page, count(*) AS outlink_count FROM links GROUP BY page) pages_ LEFT JOIN (SELECT page, list(url ORDER BY r) AS outlinks FROM capped WHERE outcome = 'admitted' GROUP BY page) a ON a.page = pages_.page")
@@ -798,7 +812,7 @@ def effective_states(spark, d):
     return reports.effective_states(_snap(spark, d))
 
 
-@query("daemon_readiness", f"WITH {S.SNAPSHOT}, {S.HEADS} SELECT CAST(coalesce(sum(runnable_url_count), 0) AS BIGINT) AS pending, count(DISTINCT host) FILTER (runnable_at <= {NOW}) AS runnable_hosts, min(greatest(runnable_at - {NOW}, 0.0)) AS next_delay, (SELECT count(*) FROM blocked) AS quarantined FROM hd")
+@query("daemon_readiness", f"WITH {S.SNAPSHOT}, {S.HEADS} SELECT CAST(coalesce(sum(runnable_url_count), 0) AS BIGINT) AS pending, count(DISTINCT host) FILTER (runnable_at <= {NOW}) AS runnable_hosts, min(greatest(runnable_at - {NOW}, 0.0)) AS next_delay, (SELECT count(*) FROM blocked) AS quarantined, 'heads' AS source FROM hd")
 def daemon_readiness(spark, d):
     s = _snap(spark, d)
     return reports.daemon_readiness(heads.host_heads(s.queue, s.host_state, s.host_ledger, NOW), s)
@@ -817,9 +831,16 @@ def cycle_throughput(spark, d):
     return _pages(spark, d).groupBy(day).agg(F.count("*").alias("pages")).withColumn("pages_a_second", F.round(F.col("pages") / 86400.0, 6))
 
 
+def _all() -> None:
+    """The queries of the other modules register themselves."""
+    from crawlquarry.plans import upkeep  # noqa: F401
+
+
 def queries():
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    _all()
     return dict(_SQL)

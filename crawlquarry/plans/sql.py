@@ -125,23 +125,23 @@ def error_category(e: str) -> str:
 PARENT = f"""CASE WHEN {listing('url')} OR regexp_matches(lower(coalesce(title, '')), 'index of|directory listing|{'|'.join(urls.LISTING_SEGMENTS)}') OR coalesce(content_length, 0) >= 524288
       OR ({content_type('content_type')} <> '' AND NOT contains({content_type('content_type')}, 'html')) THEN 'registry_listing' ELSE {archetype('url')} END"""
 LOW_VALUE = "(coalesce(hs.consecutive_failures, 0) >= 4 OR coalesce(hl.robots_status IN ('denied', 'disallowed'), false) OR (coalesce(hl.failure_count, 0) >= 3 AND coalesce(hl.success_count, 0) = 0))"
-#: Links, scores and decisions of all pages under the band of PENDING and TARGET (reduce: 1.0, 80, 4, 2).
+#: Links, scores and decisions of all pages (those with an error status stand for pages that say nofollow) under the band of PENDING and TARGET (reduce: 1.0, 80, 4, 2).
 LINKS = f"""{PAGES}, {STATE}, hl AS (SELECT * REPLACE (lower(host) AS host) FROM host_ledger),
 seeds AS (SELECT DISTINCT lower(host) AS host FROM url_ledger WHERE source_url IS NULL AND host IS NOT NULL),
 ctx AS (SELECT hl.host, {LOW_VALUE} AS low_value FROM hl LEFT JOIN hs ON hs.host_key = hl.host),
-parents AS (SELECT url_hash AS page, url AS parent_url, {host_key('url')} AS parent_host, {PARENT} AS parent_archetype, outlinks FROM pg WHERE outlinks IS NOT NULL),
-raw AS (SELECT page, parent_url, parent_host, parent_archetype, unnest(outlinks) AS u FROM parents),
+parents AS (SELECT url_hash AS page, url AS parent_url, {host_key('url')} AS parent_host, {PARENT} AS parent_archetype, coalesce(status >= 400, false) AS nofollow, outlinks FROM pg WHERE outlinks IS NOT NULL),
+raw AS (SELECT page, parent_url, parent_host, parent_archetype, nofollow, unnest(outlinks) AS u FROM parents),
 distinct_raw AS (SELECT DISTINCT u FROM raw),
 norm AS MATERIALIZED (SELECT u, {normalize('u')} AS url FROM distinct_raw),
 arch AS MATERIALIZED (SELECT url, {host_key('url')} AS host, {archetype('url')} AS archetype FROM (SELECT DISTINCT url FROM norm)),
-links AS (SELECT DISTINCT raw.page, raw.parent_url, raw.parent_host, raw.parent_archetype, arch.url, arch.host, arch.archetype FROM raw JOIN norm ON norm.u = raw.u JOIN arch ON arch.url = norm.url),
+links AS (SELECT DISTINCT raw.page, raw.parent_url, raw.parent_host, raw.parent_archetype, raw.nofollow, arch.url, arch.host, arch.archetype FROM raw JOIN norm ON norm.u = raw.u JOIN arch ON arch.url = norm.url),
 scored0 AS (SELECT links.*, seeds.host IS NOT NULL AS is_seed, ctx.host IS NOT NULL AS known, coalesce(ctx.low_value, false) AS low_value,
     greatest(25, CASE WHEN links.host = parent_host THEN 125 WHEN seeds.host IS NOT NULL THEN 110 ELSE 80 END
       + CASE archetype WHEN 'document_page' THEN 15 WHEN 'redirect_hub' THEN -30 WHEN 'registry_listing' THEN -35 ELSE 0 END
-      - CASE parent_archetype WHEN 'registry_listing' THEN 20 WHEN 'redirect_hub' THEN 10 ELSE 0 END) AS raw_value
+      - least(35, CASE parent_archetype WHEN 'registry_listing' THEN 20 WHEN 'redirect_hub' THEN 10 ELSE 0 END + CASE WHEN nofollow THEN 15 ELSE 0 END)) AS raw_value
   FROM links LEFT JOIN seeds ON seeds.host = links.host LEFT JOIN ctx ON ctx.host = links.host),
 scored AS (SELECT *, CASE WHEN low_value THEN greatest(25, raw_value - 35) ELSE raw_value END AS value FROM scored0),
-decided AS (SELECT *, CASE WHEN archetype IN ('redirect_hub', 'registry_listing') THEN 'low_value_archetype' WHEN low_value AND value < 100 THEN 'host_policy_penalty' WHEN value < 100 THEN 'score_below_threshold' ELSE 'candidate' END AS reason FROM scored),
+decided AS (SELECT *, CASE WHEN nofollow THEN 'nofollow_parent' WHEN archetype IN ('redirect_hub', 'registry_listing') THEN 'low_value_archetype' WHEN low_value AND value < 100 THEN 'host_policy_penalty' WHEN value < 100 THEN 'score_below_threshold' ELSE 'candidate' END AS reason FROM scored),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY value DESC, url) AS r, (host <> parent_host AND NOT is_seed AND host <> '' AND NOT known) AS is_new FROM decided WHERE reason = 'candidate'),
 r2 AS (SELECT *, min(r) OVER (PARTITION BY page, host) AS first_r FROM r1),
 r3 AS (SELECT *, is_new AND dense_rank() OVER (PARTITION BY page, is_new ORDER BY first_r) > 2 AS pressure FROM r2),

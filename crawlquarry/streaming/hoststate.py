@@ -33,7 +33,7 @@ def fold(state: tuple, rows: pd.DataFrame) -> tuple:
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # A micro-batch holds a bounded number of a host's outcomes; they're put in order before they count.
+    # The source bounds a micro-batch (maxFilesPerTrigger); a host's outcomes in it are put in order before they count.
     rows = pd.concat(list(batches)).sort_values(["at", "id"])
     now = fold(tuple(state.get) if state.exists else (0, 0.0, 0.0, 0, 0.0), rows)
     state.update(now)
@@ -58,9 +58,41 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
 
     q = stream.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    # The state is of no use once the run is over; the output goes when the driver ends, as other tables do.
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{base}/state"), True)
+    fs.deleteOnExit(root)
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def latest_states(updates: DataFrame) -> DataFrame:
     """The last state of each host."""
     return updates.groupBy("host").agg(F.max_by(F.struct("samples", "ewma_ms", "last_ms", "streak", "backoff_until"), "batch").alias("s")).select("host", "s.*")
+
+
+def _expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        until, kind = state.get
+        state.remove()
+        yield pd.DataFrame([(key[0], kind, until)], columns=["key", "kind", "expired_at"])
+        return
+    until, kind = state.get if state.exists else (0.0, "")
+    for rows in batches:
+        top = rows.sort_values("until").iloc[-1]
+        if top["until"] > until:
+            until, kind = float(top["until"]), str(top["kind"])
+    state.update((until, kind))
+    watermark = state.getCurrentWatermarkMs()
+    state.setTimeoutTimestamp(max(int(until * 1000), watermark + 1))
+
+
+def expiries(holds: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Stream of (key, kind, expired_at) of holds that ran out: leases, backoffs, robots answers, quarantines.
+
+    ``holds`` (key, kind, at timestamp, until seconds); a later ``until`` of a key extends its hold. A hold
+    expires once events say that its time has passed, i.e. when the watermark has.
+    """
+    marked = holds.withWatermark("at", late)
+    return marked.groupBy("key").applyInPandasWithState(_expire, "key string, kind string, expired_at double", "until double, kind string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -11,33 +11,56 @@ from crawlquarry.sources import stores
 
 
 class PageStore:
-    """Page snapshots under a folder, one directory a version; readers see whole versions only."""
+    """Page snapshots under a folder, in buckets by key hash; readers see whole versions only.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A version is a small manifest that names, for each bucket, the version that wrote it last. A merge reads and
+    rewrites only the buckets its results fall into, so a micro-batch costs what it touches; more buckets make them smaller.
+    """
 
-    def _versions(self) -> list[int]:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _fs(self):
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def versions(self) -> list[int]:
+        """Versions whose manifest is whole."""
+        fs, path = self._fs()
+        root = path(f"{self.path}/manifest")
         if not fs.exists(root):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
+        names = [x.getPath().getName() for x in fs.listStatus(root)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{self.path}/manifest/{n}/_SUCCESS")))
+
+    def manifest(self, version: int) -> dict[int, int]:
+        """Bucket -> version that wrote it; one row a bucket."""
+        return {r[0]: r[1] for r in self.spark.read.parquet(f"{self.path}/manifest/v={version}").select("bucket", "version").collect()}
+
+    def _read(self, manifest: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/data/v={v}/bucket={b}" for b, v in sorted(manifest.items())]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
         """The latest whole version."""
-        found = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+        found = self.versions()
+        return self._read(self.manifest(found[-1])) if found else None
 
     def merge(self, results: DataFrame, batch: int) -> None:
         """Version ``batch``: the version before it, with results merged in. Running a batch again gives the same version."""
-        before = [v for v in self._versions() if v < batch]
-        old = self.spark.read.parquet(f"{self.path}/v={before[-1]}") if before else results.limit(0)
-        ok = results.where(F.col("error").isNull()).drop("error") if "error" in results.columns else results
-        old = old.drop("error")
-        stores.upsert_pages(old, ok).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        before = [v for v in self.versions() if v < batch]
+        manifest = self.manifest(before[-1]) if before else {}
+        ok = results.where(F.col("error").isNull() | (F.col("error") == "")).drop("error") if "error" in results.columns else results
+        ok = ok.where(F.col("url_hash").isNotNull())
+        number = F.pmod(F.xxhash64("url_hash"), F.lit(self.buckets)).cast("int")
+        touched = sorted(r[0] for r in ok.select(number.alias("b")).distinct().collect())  # at most one a bucket
+        old = self._read({b: v for b, v in manifest.items() if b in touched})
+        merged = stores.upsert_pages(ok.limit(0) if old is None else old, ok)
+        if touched:
+            merged.withColumn("bucket", number).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={batch}")
+        manifest |= {b: batch for b in touched}
+        self.spark.createDataFrame(sorted(manifest.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={batch}")
 
 
 def maintain(stream: DataFrame, store: PageStore, checkpoint: str):
