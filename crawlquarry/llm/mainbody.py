@@ -23,6 +23,7 @@ as one host; extra columns are ignored. Phrases with more than two lost characte
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -68,13 +69,14 @@ _CRUMB = re.compile(r".+ [>›»] .+")
 _MENU_CUT = re.compile(r" [/|·] |\s{2,}")
 _BYLINE = re.compile(r"(?:written |text |texte? |texto )?(?:by|von|par|por)\b .{2,60}|(?:text|texte?|texto|автор|author)\s?[:：].*|文責.*|.{2,50}, staff writer", re.I)
 _SPACES = re.compile(r"\s+")
-_OFF = str.maketrans("", "", " \t0123456789 ")
+_OFF = " \t\xa00123456789"
 _REPAIRS = (("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp850", "utf-8"), ("cp1251", "utf-8"), ("cp1252", "cp1251"), ("mac_roman", "cp1252"), ("cp1252", "cp932"))
 #: Characters that wrong decodings leave behind.
 _STRAY = re.compile("[\u0080-\u009f\ufffdÂÃâãÐÑРСƒ√¬┬├Γ╨╤ÈÌÒÓÔÛ‡ˆ‰·¸ﬂ‚]|[À-ÿ]{4}|[â-é][\u0080-º¼-¿€-™]")
 #: What a lost character of a short phrase mostly was.
 _LOST_ONES = "·–é’©üöäóíñçèàáã«»"
 BODY, SITE = 0, 1
+_BYTES = {wrong: {ord(c): b for c, b in read.items()} for wrong, read in READERS.items()}
 
 
 def _repaired(line: str) -> list[str]:
@@ -90,10 +92,9 @@ def _repaired(line: str) -> list[str]:
         after = []
         for text in now:
             for wrong, right in _REPAIRS:
-                read = READERS[wrong]
                 try:
-                    after.append(bytes(read[c] for c in text).decode(right))
-                except (KeyError, UnicodeDecodeError):
+                    after.append(codecs.charmap_encode(text, "strict", _BYTES[wrong])[0].decode(right))
+                except UnicodeError:
                     continue
         now = [t for t in after if t != line and t not in out]
         out += now
@@ -154,6 +155,14 @@ _TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]")
 _HAS_DIGIT = re.compile(r"\d")
 
 
+def _path(line: str) -> str:
+    """A line in lower case without blanks and digits."""
+    line = line.lower()
+    for c in _OFF:
+        line = line.replace(c, "")
+    return line
+
+
 def _generalised(line: str) -> str:
     """A line without digits and the capitalised words after its first."""
     return " ".join(w.lower() for j, w in enumerate(_TOKENS.findall(line)) if not (j and w[0].isupper()))
@@ -180,7 +189,7 @@ def outline(content: str, title: str | None, prior: bool = True) -> tuple[list[i
         if prior and any(_kind(lows[i], x)):
             s |= PRIOR
         shapes[i] = s
-    paths = [x.lower().translate(_OFF) for x in lines]
+    paths = [_path(x) for x in lines]
     title_at = _title_at(lows, title, lines)
     labels = extract(shapes, [bool(s & PRIOR) for s in shapes], -1 if title_at is None else title_at)
     start, end = labels[1], labels[2]

@@ -25,17 +25,18 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlquarry.session import materialize, spread
+from crawlquarry.session import broadcast_if_small, materialize, spread
 
 BLOCK, SKELETON_BLOCK = 1024, 512
 _SENTENCE = re.compile(r"[.!?…][\"”»“’')\]]*(?=\s|$)|[。！？]", re.M)
 _LINK = re.compile(r"(?<!\S)(?:#|https?://|www\.)")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
-_CYRILLIC, _KANA, _HIGH = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[぀-ヿ一-鿿]"), re.compile(r"[\u0080-ÿŒ-ƒ‘-™]")
+_KANA = re.compile(r"[぀-ヿ一-鿿]")
 #: The commonest function words of the languages in Latin script.
 _FUNCTION_WORDS = {
     "en": {"the", "of", "and", "to", "in", "for", "with", "by", "was", "is"},
@@ -53,15 +54,13 @@ for _k, _v in _FUNCTION_WORDS.items():
 
 def language(text: str, words: list[str]) -> str:
     """Coarse language class; ``broken`` where most letters are stray high characters, ``none`` where no function words occur."""
-    n = max(1, len(text))
     if text.isascii():
         return _by_words(words)
-    if len(_KANA.findall(text)) > 0.2 * n:
-        return "ja"
-    if len(_CYRILLIC.findall(text)) > 0.3 * n:
-        return "ru"
-    if len(_HIGH.findall(text)) > 0.15 * n:
-        return "broken"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # Kana and CJK; Cyrillic; what Latin text read wrongly is full of.
+    for name, share, ranges in (("ja", 0.2, ((0x3040, 0x30FF), (0x4E00, 0x9FFF))), ("ru", 0.3, ((0x400, 0x4FF),)), ("broken", 0.15, ((0x80, 0xFF), (0x152, 0x192), (0x2018, 0x2122)))):
+        if sum(int(((codes >= a) & (codes <= b)).sum()) for a, b in ranges) > share * len(codes):
+            return name
     return _by_words(words)
 
 
@@ -80,7 +79,7 @@ _TAGS = re.compile(r"#\w+")
 _NUMBERS = re.compile(r"\d+(?:[.,:]\d+)*")
 _KANJI, _KATAKANA = re.compile(r"[一-鿿]+"), re.compile(r"[ァ-ヿ]+")
 _LONG_WORDS = re.compile(r"[^\W\d_ぁ-ゟ]{4,}")
-_BLANKS = re.compile(r"[^\S\n]+")
+_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 
 
 def skeleton(low: str) -> str:
@@ -101,40 +100,53 @@ def block_ratios(text: str, size: int) -> list[tuple[int, float]]:
     return [(len(p), len(zlib.compress(p, 6)) / len(p)) for p in (raw[a : a + step] for a in range(0, len(raw), step))]
 
 
-def measure(text: str) -> tuple[str, list[tuple[int, int, float]], float, float, float, float]:
-    """(language, (view, bytes, ratio) of each block, share of characters in sentences, sentence marks a word, share of the 8 commonest words, share of link or tag tokens)."""
+def redundancy(text: str) -> tuple[str, list[tuple[int, int, float]]]:
+    """(language, (view, bytes, ratio) of each block)."""
     low = text.lower()
-    words = _LETTERS.findall(low)
-    blocks = [(0, *b) for b in block_ratios(low, BLOCK)] + [(1, *b) for b in block_ratios(skeleton(low), SKELETON_BLOCK)]
+    return language(text, low.split()), [(0, *b) for b in block_ratios(low, BLOCK)] + [(1, *b) for b in block_ratios(skeleton(low), SKELETON_BLOCK)]
+
+
+def punctuation(text: str) -> tuple[float, float, float, float]:
+    """(share of characters in sentences, sentence marks a word, share of the 8 commonest words, share of link or tag tokens)."""
+    words = _LETTERS.findall(text.lower())
     inside = last = marks = 0
     for m in _SENTENCE.finditer(text):
         start, marks = max(last, text.rfind("\n", last, m.start()) + 1), marks + 1
         inside += m.end() - start
         last = m.end()
     top = sum(n for _, n in Counter(words).most_common(8)) / max(1, len(words))
-    links = len(_LINK.findall(text)) / max(1, len(text.split()))
-    return language(text, words), blocks, inside / max(1, len(text)), marks / max(1, len(words)), top, links
+    links = len(_LINK.findall(text)) / max(1, len(text.split())) if "#" in text or "://" in text or "www." in text else 0.0
+    return inside / max(1, len(text)), marks / max(1, len(words)), top, links
 
 
-def measures(content: DataFrame) -> DataFrame:
-    """One row for each page that isn't blank: its measures, with the blocks as arrays."""
-    schema = pa.schema([
-        ("url_hash", pa.string()), ("language", pa.string()), ("views", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64())),
-        ("sentences", pa.float64()), ("marks", pa.float64()), ("top", pa.float64()), ("links", pa.float64()), ("chars", pa.int64()),
-    ])
+def _rows(schema: pa.Schema, describe):
+    """A function over batches of (key, text) that gives the rows ``describe`` makes of each text that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text.strip():
-                    lang, blocks, sentences, marks, top, links = measure(text)
-                    rows.append((key, lang, [b[0] for b in blocks], [b[1] for b in blocks], [b[2] for b in blocks], sentences, marks, top, links, len(text)))
+            rows = [(key, *describe(text)) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text.strip()]
             columns = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    return run
+
+
+def _described(text: str) -> tuple:
+    lang, blocks = redundancy(text)
+    return lang, *map(list, zip(*blocks)), len(text)
+
+
+def measures(content: DataFrame) -> DataFrame:
+    """One row for each page that isn't blank: its language, blocks as arrays, and length."""
+    schema = pa.schema([("url_hash", pa.string()), ("language", pa.string()), ("views", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64())), ("chars", pa.int64())])
     texts = content.where(F.col("url_hash").isNotNull() & F.col("content").isNotNull()).select("url_hash", "content")
-    return spread(texts).mapInArrow(run, "url_hash string, language string, views array<int>, sizes array<int>, ratios array<double>, sentences double, marks double, top double, links double, chars bigint")
+    return spread(texts).mapInArrow(_rows(schema, _described), "url_hash string, language string, views array<int>, sizes array<int>, ratios array<double>, chars bigint")
+
+
+def confirmations(texts: DataFrame) -> DataFrame:
+    """(url_hash, sentences, marks, top, links) of ``texts`` (url_hash, content)."""
+    schema = pa.schema([("url_hash", pa.string()), ("sentences", pa.float64()), ("marks", pa.float64()), ("top", pa.float64()), ("links", pa.float64())])
+    return texts.mapInArrow(_rows(schema, punctuation), "url_hash string, sentences double, marks double, top double, links double")
 
 
 def with_index(m: DataFrame, least_population: int = 30) -> DataFrame:
@@ -153,9 +165,10 @@ def with_index(m: DataFrame, least_population: int = 30) -> DataFrame:
     return m.join(index.select("url_hash", "letters", F.least("letters", "skeleton").alias("index")), "url_hash")
 
 
-def stuffed_pages(content: DataFrame, pages: DataFrame, extreme: float = 0.88, repeated: float = 0.78, full_length: int = 400) -> DataFrame:
+def stuffed_pages(content: DataFrame, pages: DataFrame, extreme: float = 0.88, repeated: float = 0.78, full_length: int = 400, small: int = 50_000) -> DataFrame:
     """(url_hash, index, sentences, marks, top, links, outlinks, language): the pages to leave out, with the measures that decided.
 
+    ``small`` is the number of flagged pages up to which their keys are broadcast.
     ``extreme`` is the index that flags a page of ``full_length`` characters or more, ``repeated`` that of the letters of templated sentences.
     """
     m = with_index(materialize(measures(content), "measures"))
@@ -166,5 +179,9 @@ def stuffed_pages(content: DataFrame, pages: DataFrame, extreme: float = 0.88, r
     few = F.when((F.col("links") > 0.2) | (F.col("outlinks") > 30), 0.04).otherwise(0.03)
     unpunctuated = (F.col("sentences") < 0.5) & (F.col("marks") < few)
     templated = (F.col("letters") <= repeated * length) & (F.col("top") >= 0.5)
-    found = m.where(flagged).join(listed, "url_hash", "left").withColumn("outlinks", F.coalesce("outlinks", F.lit(0)))
+    # Only flagged pages, a few in a hundred, are read again to be confirmed.
+    m = materialize(m.where(flagged).select("url_hash", "language", "letters", "index", "chars"), "flagged").dropDuplicates(["url_hash"])
+    wanted, _ = broadcast_if_small(m.select("url_hash"), small)
+    texts = content.where(F.col("content").isNotNull()).select("url_hash", "content").join(wanted, "url_hash")
+    found = m.join(confirmations(texts), "url_hash").join(listed, "url_hash", "left").withColumn("outlinks", F.coalesce("outlinks", F.lit(0)))
     return found.where(unpunctuated | templated).select("url_hash", "index", "sentences", "marks", "top", "links", "outlinks", "language").dropDuplicates(["url_hash"])
