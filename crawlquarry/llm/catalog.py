@@ -101,7 +101,15 @@ f AS (SELECT host, k, count(DISTINCT url_hash) AS docs FROM k WHERE length(regex
 g AS (SELECT f.host, f.k, f.docs FROM f JOIN n ON n.host = f.host WHERE f.docs >= 5 AND f.docs * 10 >= n.n_pages)
 """
 
+_P9_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12))
+SELECT DISTINCT dg.doc_id, ig.item_id FROM dg JOIN ig ON ig.g = dg.g"""
+
 _SQL = {
+    "p9_found": _P9_SQL,
     "p1_found": _P1_LINES + "SELECT k.url_hash, k.line_no FROM k JOIN g ON g.host = k.host AND g.k = k.k",
     "p1_clean": _P1_LINES
     + """, gone AS (SELECT k.url_hash, k.line_no FROM k JOIN g ON g.host = k.host AND g.k = k.k),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import mainbody, residue, stuffing
+from crawlquarry.llm import encoding, leaks, mainbody, personal, residue, stuffing
 from tests.llm.test_text_operators import PROSE, content, pages
 
 VERSE = "\n".join(f"{a} the {b} by the {c} where {d} lay\nand no one in {b} would ever say" for a, b, c, d in (("Over", "river", "old stone mill", "morning"), ("Under", "harbour", "north gate", "barley"), ("Beyond", "valley", "quiet weir", "lanterns"), ("Along", "orchard", "crooked lane", "winter")))
@@ -17,7 +17,8 @@ def test_redundancy_decides_stuffing(spark, monkeypatch):
     assert {r.url_hash for r in stuffing.stuffed_pages(c, p).collect()} == {"keywords"}
     # The verse has no sentence marks either; only its index tells it from keywords.
     m = {r.url_hash: r for r in stuffing.with_index(stuffing.measures(c)).collect()}
-    assert m["verse"].marks < 0.03 and m["verse"].sentences < 0.5 and m["verse"]["index"] > m["keywords"]["index"]
+    sentences, marks, _, _ = stuffing.punctuation(VERSE)
+    assert marks < 0.03 and sentences < 0.5 and m["verse"]["index"] > m["keywords"]["index"]
     real = stuffing.with_index
     monkeypatch.setattr(stuffing, "with_index", lambda x: real(x).withColumn("index", F.lit(1.0)).withColumn("letters", F.lit(1.0)))
     assert stuffing.stuffed_pages(c, p).count() == 0
@@ -28,7 +29,7 @@ def test_redundancy_decides_stuffing(spark, monkeypatch):
 def test_lists_whose_entries_all_differ_are_told_by_their_skeleton():
     links = "\n".join(f"Zanval{i * 37} printer{i} http://site{i}.test/a{i}" for i in range(40))
     tags = " ".join(f"#cheap{w}{i * 31}" for i, w in enumerate(["sofa", "lamp", "hose", "ink"] * 30))
-    share = lambda text, view: sum(n * r for v, n, r in stuffing.measure(text)[1] if v == view) / sum(n for v, n, _ in stuffing.measure(text)[1] if v == view)
+    share = lambda text, view: sum(n * r for v, n, r in stuffing.redundancy(text)[1] if v == view) / sum(n for v, n, _ in stuffing.redundancy(text)[1] if v == view)
     for text in (links, tags):
         assert share(text, 1) < 0.5 * share(SOUND[3], 1)
 
@@ -108,3 +109,108 @@ def test_titles_beyond_the_thirtieth_line_and_long_lines():
     assert numbers[at] == 45
     shapes = mainbody.outline("We use cookies " + "and more " * 300 + "here.", None)[3]
     assert shapes[0] & mainbody.PRIOR
+
+
+# --- encoding
+
+WORDS = [(w, 50) for w in ("Bürger", "für", "Straße", "Prüfung", "größer", "élèves", "été", "señor", "niños", "новая", "дорога", "городе", "índice", "último", "así", "Ípsilon")] + [("Bärger", 3)]
+
+
+def test_lattices_of_every_channel_with_lost_bytes():
+    d = encoding.Decoder(WORDS)
+    for text, wrong, right, lost in (("größer", "cp1252", "utf-8", 3), ("дорога", "cp1252", "cp1251", 2), ("дорога", "cp1251", "koi8_r", 3), ("für", "mac_roman", "cp1252", 1), ("niños", "cp437", "cp1252", 2)):
+        raw = text.encode(right)
+        lattice = [None if i == lost else b for i, b in enumerate(raw)]
+        assert d._search(lattice, right) == text, (text, wrong, right)
+
+
+def test_words_decide_over_letter_pairs():
+    # A wildcard that fits two words takes the commoner; without the words the letters alone decide.
+    lattice = [None if i == 1 else b for i, b in enumerate("Bürger".encode("cp1252"))]
+    assert encoding.Decoder(WORDS)._search(lattice, "cp1252") == "Bürger"
+    assert encoding.Decoder([("Bärger", 50), ("Bürger", 3)])._search(lattice, "cp1252") == "Bärger"
+    assert encoding.Decoder([("señor", 9)])._search(lattice, "cp1252") != "Bürger"
+
+
+def test_dropped_bytes_are_wildcards(monkeypatch):
+    d = encoding.Decoder(WORDS)
+    broken = "Índice".encode().decode("latin-1").replace("\x8d", "")
+    assert broken == "Ãndice"
+    assert [r for _, _, r in d.garbled(f"see {broken} here")] == ["Índice"]
+    for sound in ("SÃO", "ROMÃ", "MAÇÃ"):
+        assert encoding.Decoder(WORDS + [("São", 9)]).garbled(sound) == [], sound
+    monkeypatch.setattr(encoding.Decoder, "_search", lambda *a: None)
+    assert encoding.Decoder(WORDS).garbled(f"see {broken} here") == []
+
+
+def test_torn_sequences_need_the_search(monkeypatch):
+    broken = "größer".encode().decode("cp1252").replace("Ÿ", encoding.LOST)
+    assert encoding.Decoder(WORDS).restore(broken) == "größer"
+    monkeypatch.setattr(encoding.Decoder, "_search", lambda *a: None)
+    assert encoding.Decoder(WORDS).restore(broken) != "größer"
+
+
+def test_long_stretches_are_cut_between_characters():
+    sound = "ラヤミ市の小さな橋" * 200
+    broken = "".join(next(c for c, b in encoding.READERS["cp1252"].items() if b == x) for x in sound.encode("cp932"))
+    d = encoding.Decoder([("ラヤミ市の小さな橋", 9)])
+    assert "".join(r for _, _, r in d.garbled(broken)) == sound
+
+
+def test_words_beyond_the_broadcast_are_joined(spark):
+    names = ["größer", "Bürger", "Straße", "Prüfung", "Bäckerei", "Köln"]
+    rows = [(f"s{i}", " ".join(names)) for i in range(5)] + [(f"m{i}", "für für") for i in range(9)] + [("bad", "Die K�ln, Bürger".encode("cp1252", "replace").decode("cp1252") + " " + "Bäckerei".encode("cp1252").decode("mac_roman"))]
+    c = content(spark, rows)
+    whole = {r.url_hash: r.restored for r in encoding.garbled_pages(c).collect()}
+    part = {r.url_hash: r.restored for r in encoding.garbled_pages(c, most_words=1).collect()}
+    assert set(whole) == set(part) == {"bad"} and "Bäckerei" in part["bad"] and part["bad"].split()[-1] == whole["bad"].split()[-1]
+
+
+# --- leaks
+
+
+def test_without_edits_the_changed_passage_is_missed(spark):
+    passage = "the quiet harbour master counted seven boats before noon and wrote nothing down today"
+    changed = passage.replace("harbour", "harbor").replace("counted", "countet")
+    d = spark.createDataFrame([(1, changed), (2, passage.upper()), (3, None), (4, ""), (5, "other words " * 30_000 + passage)], "doc_id long, text string")
+    it = spark.createDataFrame([(7, passage), (8, None)], "item_id long, text string")
+    found = lambda e: {(r.doc_id, r.item_id) for r in leaks.leaked_passages(d, it, edits=e).collect()}
+    assert found(0) == {(2, 7), (5, 7)} and found(2) == {(1, 7), (2, 7), (5, 7)}
+    runs = {r.doc_id: r.run for r in leaks.leaked_passages(d, it, edits=2).collect()}
+    assert runs == {1: 0, 2: 14, 5: 14}
+
+
+# --- personal data
+
+
+def _labelled(i):
+    return f"{100 + i % 900}-{10 + i % 90}-{1000 + i}"
+
+
+def test_unseen_forms_are_discovered_by_context(spark):
+    rows = [(i, f"The file shows file key ({_labelled(i)}) today.\nSSN: {_labelled(i + 3)}\nThe run took {i + 11000} ms there.") for i in range(60)]
+    rows += [(100, "The file shows file key (7731/44871/XB) today."), (101, "The run took 7731/44871 ms there."), (102, "Passport number: 12345678X9")]
+    rows += [(200 + i, f"letters go to 12{i} Palfir Lane, Zumir\nFlat 3, 1{i} Orvik Lane, Zumir\n") for i in range(60)]
+    rows += [(300, "letters go to 12 Oak Parade, Zumir\n"), (301, "He met Oak Parade there")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.kind, r.matched) for r in personal.personal_data(df).collect()}
+    assert (100, "national_id", "7731/44871/XB") in got and (102, "national_id", "12345678X9") in got
+    assert (300, "street_address", "12 Oak Parade") in got
+    assert not {g for g in got if g[0] in (101, 301)} and not {g for g in got if g[0] == 300 and g[1] == "person_name"}
+    assert not {g for g in got if g[2].startswith("11") and g[2].isdigit()}
+
+
+def test_patterns_decide_on_seeds_and_others(spark, monkeypatch):
+    rows = [(i, f"The file shows file key ({_labelled(i)}) today.\nSSN: {_labelled(i + 3)}") for i in range(60)] + [(100, "The file shows file key (7731/44871/XB) today.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: {(r.doc_id, r.matched) for r in personal.personal_data(df).collect()}
+    assert (100, "7731/44871/XB") in found()
+    # Without patterns there is no graph, and neither free forms nor seeds come out.
+    monkeypatch.setattr(personal, "patterns", lambda: F.array().cast("array<string>"))
+    assert found() == set()
+
+
+def test_surroundings_of_long_tokens_are_whole():
+    long = "x" * 300
+    left, right = personal._around(f"{long} the {long} 12 345 {long} end", 606, 612)
+    assert left == f"the {long}" and right == f"{long} end"
