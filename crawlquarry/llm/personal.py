@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from crawlquarry.session import materialize, spread
 
 KINDS = ("email", "national_id", "phone", "street_address", "person_name")
-_AT = r"(?:\s?[\[({<]\s?(?:at|AT|At|@|arroba|ät)\s?[\])}>]\s?|\s(?:at|AT|arroba)\s)"
+_AT = r"(?:\s?[\[({<]\s?(?:at|AT|At|@|arroba|ät)\s?[\])}>]\s?|\s(?:at|AT|arroba|@)\s)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|Dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|punto|point)\s|\.)"
 _LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*"
 _DISGUISED = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|ät)\s?[\])}>]|\s(?:at|arroba)\s")
