@@ -10,7 +10,7 @@ from crawlquarry.plans import sql as S
 from crawlquarry.plans.sql import NOW
 from crawlquarry.session import materialize, table
 from crawlquarry.sources import stores
-from crawlquarry.streaming import hoststate, results
+from crawlquarry.streaming import hoststate
 
 _QUERIES, _SQL = {}, {}
 
@@ -715,17 +715,6 @@ def link_bfs(spark, d):
     return linkgraph.reach(edges, table(spark, d, "url_ledger").where("source_url IS NULL").select("url"), 3)
 
 
-@query("maintenance_cycle")
-def maintenance_cycle(spark, d):
-    """(step, changes) of one round of upkeep."""
-    steps = results.maintenance_cycle(_snap(spark, d), _pages(spark, d), {})
-    frames = [f.agg(F.count("*").alias("changes")).select(F.lit(name).alias("step"), "changes") for name, f in steps.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 @query("stream_host_state", _SQL["latency_ewma"])
 def stream_host_state(spark, d):
     """The same means as latency_ewma, kept by a stream over the events."""

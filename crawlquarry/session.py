@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,7 +25,10 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     package = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="crawlquarry-")) / "crawlquarry.zip"
+    # The driver serves the file to the executors, so it stays as long as the driver does.
+    folder = tempfile.mkdtemp(prefix="crawlquarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "crawlquarry.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlquarry.operators import transitions
-from crawlquarry.operators.frontier import Snapshot
 from crawlquarry.sources import stores
 
 
@@ -68,13 +67,54 @@ def maintain(stream: DataFrame, store: PageStore, checkpoint: str):
     return stream.writeStream.foreachBatch(lambda df, n: store.merge(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def maintenance_cycle(s: Snapshot, pages: DataFrame, limits: dict[str, int]) -> dict[str, DataFrame]:
-    """What one round of upkeep would change, step by step, as frames: admitted, rebalanced, retired, promoted, stale and recovered."""
-    return {
-        "recovered": transitions.recover_leases(s),
-        "admitted": transitions.admission_candidates(s, limits.get("admit", 500)),
-        "rebalanced": transitions.rebalance(s),
-        "retired": transitions.retire_blocked(s, 3, 60.0, limits.get("retire", 256)),
-        "promoted": transitions.promote_heads(s, limits.get("promote", 100)),
-        "stale": transitions.stale_refresh(s, pages, limits.get("refresh", 300)),
-    }
+class CrawlPipeline:
+    """Fetched pages through parsing, finalising and publishing, a micro-batch at a time.
+
+    * parse: links come out of each page's HTML where no outlinks are given;
+    * finalise: the batch's pages go into the page store, its links become tasks, merged by URL;
+    * publish: the pages are written as JSON lines without their bodies.
+
+    Everything a batch writes lies under its number and is overwritten as a whole, so a batch that runs again leaves
+    one copy. The source bounds a batch (``maxFilesPerTrigger``), the trigger sets the longest wait.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.store = PageStore(spark, f"{self.path}/pages", buckets)
+
+    def parse(self, fetched: DataFrame) -> DataFrame:
+        """``fetched`` with the outlinks of its HTML (column ``content``) where it has none of its own; failed fetches keep none."""
+        from crawlquarry.functions import html
+
+        # Rows of a micro-batch are one a page, so its key tells them apart.
+        links = html.outlinks(html.anchor_rows(fetched.where(F.col("outlinks").isNull() & F.col("error").isNull()), html="content")).withColumnRenamed("outlinks", "found")
+        return fetched.join(links, "url_hash", "left").withColumn("outlinks", F.coalesce("outlinks", "found")).drop("found")
+
+    def process(self, fetched: DataFrame, batch: int) -> None:
+        one = fetched.where(F.col("url_hash").isNotNull()).dropDuplicates(["url_hash", "crawled_at"])
+        parsed = one.join(self.parse(frontier_latest(one)).select("url_hash", F.col("outlinks").alias("parsed")), "url_hash", "left").withColumn("outlinks", F.coalesce("outlinks", "parsed")).drop("parsed").persist()
+        try:
+            self.store.merge(parsed.drop("content"), batch)
+            good = parsed.where(F.col("error").isNull())
+            links = good.select("url_hash", F.col("url").alias("source_url"), "crawled_at", F.posexplode(F.coalesce("outlinks", F.array().cast("array<string>"))).alias("i", "url"))
+            tasks = links.select(F.concat_ws(":", "url_hash", F.lpad(F.col("i").cast("string"), 6, "0")).alias("seq"), "url", F.lit(0.8).alias("value"), "source_url", F.col("crawled_at").alias("added_at"), F.col("crawled_at").alias("next_fetch_at"), F.lit("explore").alias("intent"))
+            transitions.prepare_tasks(tasks).write.mode("overwrite").parquet(f"{self.path}/tasks/batch={batch}")
+            stores.results_as_json(good, drop=("content",)).withColumnRenamed("json", "value").write.mode("overwrite").text(f"{self.path}/out/batch={batch}")
+        finally:
+            parsed.unpersist()
+
+    def run(self, stream: DataFrame, checkpoint: str, **trigger):
+        """The streaming query; by default it takes what is there in bounded batches and ends."""
+        return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def tasks(self) -> DataFrame:
+        """All tasks so far, merged over the batches."""
+        rows = self.spark.read.parquet(f"{self.path}/tasks")
+        return transitions.prepare_tasks(rows.withColumn("seq", F.concat_ws(":", F.lpad(F.col("batch").cast("string"), 12, "0"), "source_url")))
+
+
+def frontier_latest(rows: DataFrame) -> DataFrame:
+    """The latest crawl of each page of a batch."""
+    from crawlquarry.operators import frontier
+
+    return frontier.latest(rows, "url_hash", [F.col("crawled_at"), F.coalesce("content", F.lit(""))])
