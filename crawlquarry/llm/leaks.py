@@ -22,6 +22,7 @@ item give one row a pair; items under ``min_words`` words can't be found; extra
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -268,16 +269,17 @@ class ItemIndex:
         return best if best >= self.min_words else 0
 
 
-#: Indexes of this worker, by broadcast and settings.
+#: Indexes of this worker, by the block's name and settings; a worker outlives the queries it serves.
 _INDEXES: dict[tuple, ItemIndex] = {}
 
 
 def _index(shared, *settings) -> ItemIndex:
-    key = (shared.id if hasattr(shared, "id") else id(shared), *settings)
+    name, block = shared.value
+    key = (name, *settings)
     if key not in _INDEXES:
         if len(_INDEXES) > 4:
             _INDEXES.clear()
-        _INDEXES[key] = ItemIndex(shared.value, *settings)
+        _INDEXES[key] = ItemIndex(block, *settings)
     return _INDEXES[key]
 
 
@@ -319,7 +321,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = 12,
     found, block, size = None, [], 0
 
     def close(found, block):
-        part = against(spark.sparkContext.broadcast(block))
+        part = against(spark.sparkContext.broadcast((uuid.uuid4().hex, block)))
         return part if found is None else found.unionByName(part)
 
     for row in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().toLocalIterator():
