@@ -103,7 +103,6 @@ _ALTERNATIVES = re.compile(r"\(([^()]*\|[^()]*)\)")
 _WORD_END = re.compile(r"[^\W\d_]*")
 #: Tokens that say nothing of a text: ids, addresses, paths, numbers.
 _MUTE = re.compile(r"\S*[/@\\_\d]\S*")
-_PLAIN = str.maketrans("’ ", "' ")
 
 
 def expanded(template: str) -> list[str]:
