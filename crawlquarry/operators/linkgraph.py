@@ -38,15 +38,18 @@ def recursable(url: str, base: str) -> Column:
 def check_reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(url, depth): what a recursive link check looks at. Every link of a visited page is checked; only recursable ones are visited in turn."""
     e = edges.select("source", "target").distinct().withColumn("onward", recursable("target", "source"))
-    seen = materialize(seeds.select("url").distinct().withColumns({"depth": F.lit(0), "onward": F.lit(True)}), "reach")
-    for step in range(1, depth + 1):
-        front = seen.where((F.col("depth") == step - 1) & F.col("onward")).select(F.col("url").alias("source"))
-        found = e.join(front, "source", "left_semi").groupBy(F.col("target").alias("url")).agg(F.bool_or("onward").alias("onward"))
-        new = materialize(found.join(seen.select("url"), "url", "left_anti").select("url", F.lit(step).alias("depth"), "onward"), "reach")
+    # A page can be checked from another host before a link of its own host leads into it, so visits are kept apart from checks.
+    visited = materialize(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "reach")
+    for step in range(1, depth):
+        front = visited.where(F.col("depth") == step - 1).select(F.col("url").alias("source"))
+        new = e.where("onward").join(front, "source", "left_semi").select(F.col("target").alias("url")).distinct().join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(step))
+        new = materialize(new, "reach")
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
-    return seen.select("url", "depth")
+        visited = visited.unionByName(new)
+    sources = visited.where(F.col("depth") < depth).select(F.col("url").alias("source"), "depth")
+    checked = e.join(sources, "source").select(F.col("target").alias("url"), (F.col("depth") + 1).alias("depth"))
+    return checked.unionByName(visited).groupBy("url").agg(F.min("depth").alias("depth"))
 
 
 def check_summary(checks: DataFrame, status: str) -> DataFrame:

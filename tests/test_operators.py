@@ -134,6 +134,14 @@ def test_reach(spark):
     assert {(r.url, r.depth) for r in linkgraph.reach(e, spark.createDataFrame([("a",)], "url string"), 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_check_reach_visits_a_page_first_checked_from_another_host(spark):
+    # b/x is checked from host a at once; only the later link of its own host leads into it.
+    e = spark.createDataFrame([("http://a/", "http://b/x.html"), ("http://a/", None), ("http://b/", "http://b/y.html"), ("http://b/y.html", "http://b/x.html"), ("http://b/x.html", "http://b/z.gif"), ("http://b/y.html", None)], "source string, target string")
+    got = [(r.url, r.depth) for r in linkgraph.check_reach(e, spark.createDataFrame([("http://a/",), ("http://b/",)], "url string"), 3).collect()]
+    assert sorted(got, key=str) == sorted([("http://a/", 0), ("http://b/", 0), ("http://b/x.html", 1), ("http://b/y.html", 1), ("http://b/z.gif", 3), (None, 1)], key=str)
+    assert linkgraph.check_reach(e, spark.createDataFrame([("http://a/",)], "url string"), 0).count() == 1
+
+
 # --- stores and streams
 
 PAGE = "url_hash string, url string, host string, title string, status int, content_length int, content_type string, source_url string, outlinks array<string>, storage_tier string, storage_reason string, stored_content_bytes int, content_truncated boolean, outlink_count int, stored_outlink_count int, crawled_at double, created_at double"
