@@ -5,13 +5,13 @@ unlike sound text is turned back into the bytes each channel would have seen. By
 on the way are wildcards: U+FFFD stands for one byte, and bytes that the wrong encoding leaves
 undefined (or shows as blanks) may have been dropped without a trace, so that a stretch is a lattice of possible
 bytes. A Viterbi search through that lattice, decoded under the right encoding, picks the likeliest
-text: its states are the words begun, ended words weigh by their frequency in the corpus,
-and character pairs of the same words stand in for what no word covers. A stretch is garbled when
-its best restoration beats the text as it stands.
+text: ended words weigh by their frequency in the corpus, and character pairs of the same words stand in for
+what no word covers. Its states are the beginnings of words of the corpus and the last letters of any others, so
+that no hypothesis is left out. A stretch is garbled when its best restoration beats the text as it stands.
 
 The word table counts, over the whole corpus, the pages that hold each word with a
-character beyond ASCII. Up to ``most_words`` of the commonest are broadcast; where the corpus has more, the words that
-a page's stretches can stand for are looked up in the rest by a join.
+character beyond ASCII. Up to ``most_words`` are broadcast; where the corpus has more, all of them and their letter pairs are
+a sorted file that each executor gets a copy of and reads from disk, with the same results.
 
 Defined results: null content gives no row; sound and empty texts aren't found; of repeated
 rows of a page any decides; extra columns are ignored; what can't be restored stays as it is.
@@ -19,13 +19,20 @@ rows of a page any decides; extra columns are ignored; what can't be restored st
 
 from __future__ import annotations
 
+import atexit
 import math
 import re
+import shutil
+import sqlite3
+import tempfile
+import uuid
 from bisect import bisect_left
-from collections import ChainMap, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +61,10 @@ CHANNELS = (
 LOST = "�"
 #: Characters of a stretch after which it may be cut, at the next place where no character can be split.
 _PIECE = 600
-#: Hypotheses kept at each byte of a lattice; only wildcards make more than one.
-BEAM = 128
+#: Characters of remembered stretches, and entries of other look-ups, after which a worker forgets them; results don't depend on these.
+_REMEMBERED, _LOOKED_UP = 6_000_000, 100_000
+#: Characters of results that a worker gathers before it hands them on.
+_HANDED_ON = 4_000_000
 
 
 def _reader(encoding: str) -> dict[str, int]:
@@ -205,43 +214,138 @@ def _cut(text: str, a: int, b: int) -> int:
 _SCRIPTS = {"latin": ("\x80", "\u024f"), "cyrillic": ("\u0400", "\u04ff"), "wide": ("\u3000", "\uffef")}
 
 
+def _fold(text: str) -> str:
+    """Lower case letter by letter, so that what begins a word begins its folded form."""
+    return "".join(c.lower() for c in text).replace("ς", "σ")
+
+
+def _letter_pairs(words: Iterable[tuple[str, int]]) -> dict[tuple[str, str], int]:
+    """(second, first) letter -> weight; a blank stands at both ends of a word."""
+    pairs: dict[tuple[str, str], int] = defaultdict(int)
+    for w, n in words:
+        padded = f" {w.lower()} "
+        for a, b in zip(padded, padded[1:]):
+            pairs[b, a] += n
+    return pairs
+
+
+class Words:
+    """Word frequencies and letter pairs in memory."""
+
+    def __init__(self, words: list[tuple[str, int]]):
+        self.counts = dict(words)
+        self.total = sum(self.counts.values()) + 1
+        self.get = self.counts.get
+        self.sorted = sorted({_fold(w) for w in self.counts})
+        self.pairs: dict[str, dict[str, int]] = defaultdict(dict)
+        self.singles: dict[str, int] = defaultdict(int)
+        for (b, a), n in _letter_pairs(self.counts.items()).items():
+            self.pairs[b][a] = n
+            self.singles[a] += n
+        self.pairs = dict(self.pairs)
+
+    def before(self, letter: str) -> dict[str, int]:
+        """The letters that stand before a letter, with their weight."""
+        return self.pairs.get(letter) or {}
+
+    def _next(self, prefix: str) -> str | None:
+        """The first folded word that isn't less."""
+        k = bisect_left(self.sorted, prefix)
+        return self.sorted[k] if k < len(self.sorted) else None
+
+    def begins(self, prefix: str) -> bool:
+        """Whether a word begins like this, folded."""
+        return (w := self._next(prefix)) is not None and w.startswith(prefix)
+
+    def following(self, prefix: str) -> set[str]:
+        """The letters that go on from a folded beginning."""
+        found, w = set(), self._next(prefix + "\0")
+        while w is not None and w.startswith(prefix):
+            c = w[len(prefix)]
+            found.add(c)
+            w = self._next(prefix + chr(ord(c) + 1))
+        return found
+
+
+class StoredWords(Words):
+    """Word frequencies and letter pairs in a file; what was looked up is remembered for a while."""
+
+    def __init__(self, path: str):
+        self.db = sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
+        self.total = self.db.execute("SELECT n FROM total").fetchone()[0]
+        self.singles = dict(self.db.execute("SELECT letter, n FROM singles"))
+        self.looked_up: tuple[dict, ...] = ({}, {}, {}, {})
+
+    def _remembered(self, kind: int, key: str, find):
+        kept = self.looked_up[kind]
+        if key not in kept:
+            if len(kept) >= _LOOKED_UP // (20 if kind > 1 else 1):  # these are sets of letters
+                kept.clear()
+            kept[key] = find()
+        return kept[key]
+
+    def get(self, word: str, default: int | None = None) -> int | None:
+        n = self._remembered(0, word, lambda: (self.db.execute("SELECT n FROM words WHERE word = ?", (word,)).fetchone() or (None,))[0])
+        return default if n is None else n
+
+    def before(self, letter: str) -> dict[str, int]:
+        return self._remembered(2, letter, lambda: dict(self.db.execute("SELECT a, n FROM pairs WHERE b = ?", (letter,))))
+
+    def _next(self, prefix: str) -> str | None:
+        return (self.db.execute("SELECT word FROM folded WHERE word >= ? ORDER BY word LIMIT 1", (prefix,)).fetchone() or (None,))[0]
+
+    def begins(self, prefix: str) -> bool:
+        return self._remembered(1, prefix, lambda: Words.begins(self, prefix))
+
+    def following(self, prefix: str) -> set[str]:
+        return self._remembered(3, prefix, lambda: Words.following(self, prefix))
+
+
+def store_words(counts: DataFrame, path: str) -> None:
+    """Write (word, n) and their letter pairs to a file for StoredWords; the driver sees one part at a time."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _letter_pairs(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["b", "a", "n"])
+
+    db = sqlite3.connect(path)
+    db.executescript(
+        "PRAGMA journal_mode = OFF; PRAGMA synchronous = OFF; PRAGMA cache_size = -65536; CREATE TABLE words (word TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID; CREATE TABLE folded (word TEXT PRIMARY KEY) WITHOUT ROWID;"
+        "CREATE TABLE pairs (b TEXT, a TEXT, n INTEGER, PRIMARY KEY (b, a)) WITHOUT ROWID; CREATE TABLE singles (letter TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID; CREATE TABLE total (n INTEGER);"
+    )
+    for w, n in counts.select("word", "n").orderBy("word").toLocalIterator():
+        db.execute("INSERT INTO words VALUES (?, ?)", (w, n))
+        db.execute("INSERT OR IGNORE INTO folded VALUES (?)", (_fold(w),))
+    letters = counts.select("word", "n").mapInArrow(pairs, "b string, a string, n long").groupBy("b", "a").agg(F.sum("n").alias("n")).orderBy("b", "a")
+    db.executemany("INSERT INTO pairs VALUES (?, ?, ?)", letters.toLocalIterator())
+    db.execute("INSERT INTO singles SELECT a, sum(n) FROM pairs GROUP BY a")
+    db.execute("INSERT INTO total SELECT coalesce(sum(n), 0) + 1 FROM words")
+    db.commit()
+    db.close()
+
+
 class Decoder:
     """Noisy-channel decoder under a table of word frequencies."""
 
-    def __init__(self, words: list[tuple[str, int]]):
+    def __init__(self, words: list[tuple[str, int]] | Words):
         # Words that are themselves garbled are in the table, rare beside their sound forms.
-        self.words = dict(words)
-        self.total = sum(self.words.values()) + 1
-        pairs: dict[str, float] = defaultdict(float)
-        singles: dict[str, float] = defaultdict(float)
-        for w, n in words:
-            padded = f" {w.lower()} "
-            for a, b in zip(padded, padded[1:]):
-                pairs[a + b] += n
-                singles[a] += n
-        self.pairs, self.singles = dict(pairs), dict(singles)
-        self.sorted = sorted({w.lower() for w in self.words})
+        self.words = words if isinstance(words, Words) else Words(words)
+        self.total, self.singles = self.words.total, self.words.singles
         self.letters = sorted(c for c in self.singles if c.isalpha() and not c.isascii() and _PLAUSIBLE.fullmatch(c))
         self.letters += [c.upper() for c in self.letters if len(c.upper()) == 1 and c.upper() != c]
         self.shapes: dict[tuple, list[str]] = {}
+        self.shaped = 0
         self.memo: dict[str, str] = {}
         self.sound: dict[str, bool] = {}
         self.channel: dict[str, str] = {}
-
-    def with_words(self, more: dict[str, int]) -> Decoder:
-        """This decoder with some rarer words beside; it shares all but the memos, which depend on the words."""
-        import copy
-
-        d = copy.copy(self)
-        d.words = ChainMap(more, self.words)
-        d.memo, d.sound, d.channel = {}, {}, {}
-        return d
+        self.remembered = 0
 
     def _pair(self, a: str, b: str) -> float:
-        a, b = a.lower(), b.lower()
-        if ord(a) < 128 and ord(b) < 128:
+        if a.isascii() and b.isascii():
             return -3.0
-        return math.log((self.pairs.get(a + b, 0) + 0.02) / (self.singles.get(a, 0) + 20.0))
+        a, b = a.lower(), b.lower()
+        return math.log((self.words.before(b).get(a, 0) + 0.02) / (self.singles.get(a, 0) + 20.0))
 
     def score(self, text: str) -> float:
         """Log-likelihood of a stretch, up to a constant."""
@@ -289,61 +393,93 @@ class Decoder:
                     raw = c.encode(right, "ignore")
                     if len(raw) == len(piece) and all(x is None or x == y for x, y in zip(piece, raw)):
                         found.append(c)
-            if len(self.shapes) > 100_000:
+            if self.shaped > 4 * _LOOKED_UP:
                 self.shapes.clear()
+                self.shaped = 0
+            self.shaped += len(found) + 4
             self.shapes[key] = found
         return self.shapes[key]
 
-    def _begins(self, prefix: str) -> bool:
-        """Whether a word of the corpus begins like this."""
-        k = bisect_left(self.sorted, prefix)
-        return k < len(self.sorted) and self.sorted[k].startswith(prefix)
-
-    def _word(self, word: str, pairs: float) -> float:
-        """Weight of an ended word: its frequency, or the character pairs where the corpus doesn't know it."""
-        if not word or word.isascii():
-            return -3.0 if word else 0.0
-        n = self._known(word)
-        return 0.3 * math.log(n / self.total) if n else pairs + self._pair(word[-1], " ") - 4.0
-
     def _search(self, lattice: list[int | None], right: str, dropped: tuple[int, ...] = ()) -> str | None:
-        """Viterbi search for the likeliest text of a lattice. A state is the word begun at a byte; its score is that of the words ended plus the word's pairs.
+        """Viterbi search for the likeliest text of a lattice; nothing that could win is left out.
+
+        At each byte there are three kinds of states: between words; a word begun, kept whole, if it's ASCII or a word of the corpus
+        begins so; and the last letter of any word beyond ASCII, as no more of it counts for what no word covers.
+        A word ended weighs by its frequency or by its pairs, whichever is more.
 
         ``dropped`` are bytes that may be missing anywhere inside a character.
         """
         n = len(lattice)
         sizes = (1, 2, 3, 4) if right == "utf-8" else (1, 2, 3) if right == "euc_jp" else (1, 2) if right == "cp932" else (1,)
-        # word begun -> (rank, score of ended words, pairs of the word, text)
-        best: list[dict[str, tuple[float, float, float, str]]] = [{} for _ in range(n + 1)]
-        best[0][""] = (0.0, 0.0, 0.0, "")
-
-        def go_on(i: int, j: int, c: str, cost: float) -> None:
-            for word, (_, ended, pairs, text) in best[i].items():
-                if c.isalpha():
-                    state = word + c
-                    p = pairs + self._pair(word[-1] if word else " ", c)
-                    value = ended - cost + p + (3.0 if not state.isascii() and self._begins(state.lower()) else 0.0)
-                    new = (value, ended - cost, p, text + c)
+        # (score, text); that of words begun without them, that of last letters with the word's pairs
+        between: list[tuple[float, str] | None] = [None] * (n + 1)
+        begun: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
+        lasts: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
+        between[0] = (0.0, "")
+
+        def put(states: dict[str, tuple[float, str]], key: str, value: float, text: str) -> None:
+            if key not in states or states[key][0] < value:
+                states[key] = (value, text)
+
+        def ended(i: int) -> tuple[float, str] | None:
+            found = [between[i]] if between[i] else []
+            for word, (value, text) in begun[i].items():
+                if word.isascii():
+                    found.append((value - 3.0, text))
+                elif count := self._known(word):
+                    found.append((value + 0.3 * math.log(count / self.total), text))
+            found += [(value + self._pair(a, " ") - 4.0, text) for a, (value, text) in lasts[i].items()]
+            return max(found, default=None)
+
+        def best_last(i: int) -> tuple[float, str]:
+            """The best state before a letter that no pair is known for."""
+            return max((value + math.log(0.02 / (self.singles.get(a, 0) + 20.0)), text) for a, (value, text) in lasts[i].items())
+
+        def go_on(i: int, j: int, chars: list[str], cost: float) -> None:
+            letters = [c for c in chars if c.isalpha()]
+            if len(letters) < len(chars) and (end := ended(i)):
+                for c in chars:
+                    if not c.isalpha():
+                        value = end[0] - cost - (0.0 if c.isascii() or c in _SOUND_MARKS else 6.0)
+                        if between[j] is None or between[j][0] < value:
+                            between[j] = (value, end[1] + c)
+            if not letters:
+                return
+            for word, (value, text) in ([("", between[i])] if between[i] else []) + list(begun[i].items()):
+                plain, folded = word.isascii(), _fold(word)
+                follow = self.words.following(folded) if len(letters) > 4 else None
+                for c in letters:
+                    if plain and c.isascii():
+                        put(begun[j], word + c, value - cost, text + c)
+                        continue
+                    low = _fold(c)
+                    if (follow is None or low[0] in follow) and self.words.begins(folded + low):
+                        put(begun[j], word + c, value - cost, text + c)
+                    if plain:
+                        put(lasts[j], c.lower(), value - cost - 3.0 * len(word) + self._pair(word[-1] if word else " ", c), text + c)
+            here = lasts[i]
+            top = best_last(i) if len(here) > 8 and len(letters) > 8 else None
+            for c in letters:
+                low = c.lower()
+                if top and not c.isascii():
+                    # Pairs that are known weigh more than unknown ones of the same letter, so that these need no look each.
+                    put(lasts[j], low, top[0] - cost, top[1] + c)
+                    known = self.words.before(low)
+                    firsts = [a for a in known if a in here] if len(known) < len(here) else [a for a in here if a in known]
                 else:
-                    state = ""
-                    e = ended + self._word(word, pairs) - cost - (0.0 if c.isascii() or c in _SOUND_MARKS else 6.0)
-                    new = (e, e, 0.0, text + c)
-                if state not in best[j] or best[j][state][0] < new[0]:
-                    best[j][state] = new
+                    firsts = list(here)
+                for a in firsts:
+                    put(lasts[j], low, here[a][0] - cost + self._pair(a, c), here[a][1] + c)
 
         for i in range(n):
-            here = best[i]
-            if not here:
+            if not (between[i] or begun[i] or lasts[i]):
                 continue
-            if len(here) > BEAM:
-                best[i] = dict(sorted(here.items(), key=lambda kv: -kv[1][0])[:BEAM])
             for size in sizes:
                 if i + size > n:
                     break
                 piece = tuple(lattice[i : i + size])
-                lost = piece.count(None)
-                for c in self._characters(piece, right):
-                    go_on(i, i + size, c, 2.0 * lost)
+                if chars := self._characters(piece, right):
+                    go_on(i, i + size, chars, 2.0 * piece.count(None))
             if dropped and lattice[i] is not None and lattice[i] >= 0xC2:  # bytes
                 for size in sizes[1:3]:
                     have = lattice[i : i + size - 1]
@@ -351,11 +487,10 @@ class Decoder:
                         continue
                     for at in range(1, size):
                         for d in dropped:
-                            for c in self._characters(tuple(have[:at] + [d] + have[at:]), right):
-                                go_on(i, i + size - 1, c, 3.0 if d < 0xA0 else 4.0)
-        if not best[n]:
-            return None
-        return max((ended + self._word(word, pairs), text) for word, (_, ended, pairs, text) in best[n].items())[1]
+                            if chars := self._characters(tuple(have[:at] + [d] + have[at:]), right):
+                                go_on(i, i + size - 1, chars, 3.0 if d < 0xA0 else 4.0)
+        end = ended(n)
+        return end and end[1]
 
     def _by_runs(self, text: str, wrong: str) -> str:
         """Each run of whole sequences decoded by itself, where the stretch as a whole has torn ones."""
@@ -429,10 +564,8 @@ class Decoder:
             if text == start and top in made:
                 self.channel[start] = made[top]
             text = top
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-            self.channel.clear()
         self.memo[start] = text
+        self.remembered += len(start) + len(text) + 60
         return text
 
     def _known(self, word: str) -> int:
@@ -473,6 +606,7 @@ class Decoder:
                     best, top, name = found, n, channel
         if name:
             self.channel[stretch] = name
+            self.remembered += len(stretch) + 60
         return best
 
     def examine(self, stretch: str) -> str | None:
@@ -485,9 +619,8 @@ class Decoder:
                 return restored
         if (restored := self.by_words(stretch)) != stretch:
             return restored
-        if len(self.sound) > 200_000:
-            self.sound.clear()
         self.sound[stretch] = not self.has_marks(stretch)
+        self.remembered += len(stretch) + 60
         return None
 
     def has_marks(self, stretch: str) -> bool:
@@ -518,6 +651,11 @@ class Decoder:
 
     def garbled(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, restored) of the garbled stretches of a text; restored equals the stretch where nothing better is found."""
+        if self.remembered > _REMEMBERED:  # between texts only, as a text's own stretches are looked at again
+            self.memo.clear()
+            self.sound.clear()
+            self.channel.clear()
+            self.remembered = 0
         out, left, done = [], [], -1
         with_marks = False
         for m in _ODD.finditer(text):
@@ -568,40 +706,6 @@ class Decoder:
         return sorted(out)
 
 
-def _wanted_words(known: set[str]):
-    """For each text, the words beyond ASCII of its stretches and of what the channels make of them that aren't known."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
-        for batch in batches:
-            keys, words = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found: set[str] = set()
-                for stretch in {t for t in text.split() if not t.isascii()}:
-                    if stretch not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        texts, now = {stretch}, {stretch}
-                        for _ in range(3):
-                            after = set()
-                            for t in now:
-                                for _, wrong, right in CHANNELS:
-                                    read = READERS[wrong]
-                                    try:
-                                        after.add(bytes(read[c] for c in t).decode(right))
-                                    except (KeyError, UnicodeDecodeError):
-                                        continue
-                            now = after - texts
-                            texts |= now
-                        memo[stretch] = [v for t in texts for w in _WORD.findall(t) if not w.isascii() for v in (w, w.lower(), w.capitalize()) if v not in known]
-                    found.update(memo[stretch])
-                keys += [key] * len(found)
-                words += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["url_hash", "word"])
-
-    return run
-
-
 def garbled_pages(content: DataFrame, words: list[tuple[str, int]] | None = None, most_words: int = 60_000) -> DataFrame:
     """(url_hash, stretches, restored): pages with garbled stretches, how many, and the text with each restored where possible."""
     spark = content.sparkSession
@@ -609,34 +713,37 @@ def garbled_pages(content: DataFrame, words: list[tuple[str, int]] | None = None
     texts = content.where(F.col("url_hash").isNotNull() & F.col("content").isNotNull()).select("url_hash", "content")
     # Only texts beyond ASCII can be garbled; the rest doesn't leave the JVM.
     odd = texts.where(F.col("content").rlike(r"[^\x00-\x7f]"))
-    rest = None
+    stored = None
     if words is None:
         counts = materialize(word_counts(texts), "words")
-        words = [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(most_words + 1).collect()]
-        if len(words) > most_words:
-            words = words[:most_words]
-            wanted = odd.mapInArrow(_wanted_words({w for w, _ in words}), "url_hash string, word string")
-            rest = wanted.join(counts, "word").groupBy("url_hash").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("more"))
+        if counts.count() > most_words:
+            # The driver serves the file to the executors, so it stays as long as the driver does.
+            folder = tempfile.mkdtemp(prefix="crawlquarry-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            stored = f"words-{uuid.uuid4().hex}.db"
+            store_words(counts, str(Path(folder) / stored))
+            spark.sparkContext.addFile(str(Path(folder) / stored))
+        else:
+            words = [(r[0], r[1]) for r in counts.collect()]
     shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value)
+        decoder = Decoder(StoredWords(SparkFiles.get(stored)) if stored else shared.value)
         for batch in batches:
-            keys, counts, out = [], [], []
-            columns = [c.to_pylist() for c in batch.columns]
-            more = columns[2] if len(columns) > 2 else [None] * batch.num_rows
-            for key, text, extra in zip(columns[0], columns[1], more):
-                found = decoder.with_words(dict(extra)).garbled(text) if extra else decoder.garbled(text)
-                if found:
+            keys, counts, out, gathered = [], [], [], 0
+            for at, (key, text) in enumerate(zip(batch.column(0), batch.column(1)), 1):
+                text = text.as_py()
+                if found := decoder.garbled(text):
                     parts, last = [], 0
                     for a, b, restored in found:
                         parts += [text[last:a], restored]
                         last = b
-                    keys.append(key)
+                    keys.append(key.as_py())
                     counts.append(len(found))
                     out.append("".join(parts) + text[last:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int32()), pa.array(out, pa.string())], names=["url_hash", "stretches", "restored"])
+                    gathered += len(out[-1])
+                if keys and (gathered > _HANDED_ON or at == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int32()), pa.array(out, pa.string())], names=["url_hash", "stretches", "restored"])
+                    keys, counts, out, gathered = [], [], [], 0
 
-    if rest is not None:
-        return odd.join(rest, "url_hash", "left").mapInArrow(run, "url_hash string, stretches int, restored string")
     return spread(odd).mapInArrow(run, "url_hash string, stretches int, restored string")

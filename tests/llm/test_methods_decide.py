@@ -1,5 +1,8 @@
 """The core of each method switched off must change the result, and texts of kinds the tables don't hold must come out right."""
 
+import itertools
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +169,63 @@ def test_words_beyond_the_broadcast_are_joined(spark):
     assert set(whole) == set(part) == {"bad"} and "Bäckerei" in part["bad"] and part["bad"].split()[-1] == whole["bad"].split()[-1]
 
 
+def test_words_beyond_the_broadcast_fill_lost_letters(spark):
+    names = ["größer", "Bürger", "Straße", "Prüfung", "Bäckerei", "Köln", "дорога", "городе"]
+    torn = "größer".encode().decode("cp1252").replace("Ÿ", encoding.LOST)
+    rows = [(f"s{i}", " ".join(names)) for i in range(5)] + [(f"m{i}", "für für") for i in range(9)] + [("lost", "K\ufffdln Stra\ufffde d\ufffdroga д\ufffdр\ufffdга B\ufffdckerei"), ("torn", f"Die {torn} Stadt"), ("dropped", "Prüfung".encode().decode("cp1252").replace("¼", encoding.LOST))]
+    whole = {r.url_hash: (r.stretches, r.restored) for r in encoding.garbled_pages(content(spark, rows)).collect()}
+    assert whole["lost"][1] == "Köln Straße d\ufffdroga дорога Bäckerei" and whole["torn"][1] == "Die größer Stadt" and whole["dropped"][1] == "Prüfung"
+    for most in (0, 1, 5):
+        assert {r.url_hash: (r.stretches, r.restored) for r in encoding.garbled_pages(content(spark, rows), most_words=most).collect()} == whole
+
+
+def test_stored_words_equal_those_in_memory(spark, tmp_path):
+    words = WORDS + [("İstanbul", 4), ("ΟΔΟΣ", 3), ("οδός", 5), ("町の静かな工房", 7)]
+    encoding.store_words(spark.createDataFrame(words, "word string, n long"), str(tmp_path / "w.db"))
+    stored, whole = encoding.StoredWords(str(tmp_path / "w.db")), encoding.Words(words)
+    assert (stored.total, stored.singles) == (whole.total, whole.singles)
+    assert all(stored.get(w) == n for w, n in words) and stored.get("none") is None
+    for c in whole.singles:
+        assert stored.before(c) == whole.before(c)
+    for w in whole.sorted:
+        for k in range(len(w) + 1):
+            assert stored.begins(w[:k]) and stored.following(w[:k]) == whole.following(w[:k]) == {v[k] for v in whole.sorted if v.startswith(w[:k]) and len(v) > k}
+
+
+def test_search_leaves_no_hypothesis_out():
+    # Beginnings of common words crowd the first two letters; the only word of this length is the unlikeliest by its pairs.
+    letters = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+    d = encoding.Decoder([(f"{a}{b}tttt", 1000) for a in letters for b in letters if a + b != "àþ"] + [("àþs", 5)])
+    assert d._search([None, None, ord("s")], "cp1252") == "àþs"
+    # Against every choice, with what no word covers: weights of ended words, or pairs.
+    d = encoding.Decoder([("größer", 50), ("für", 40), ("été", 9), ("àüé", 3), ("ßéü", 1)])
+
+    def weight(w):
+        n = d._known(w)
+        padded = f" {w} "
+        return max([0.3 * math.log(n / d.total)] if n else [], default=-1e9), sum(d._pair(a, b) for a, b in zip(padded, padded[1:])) - 4.0
+
+    for lattice in ([None, None, None], [None, ord("t"), None], [ord("z"), None, None], [None, 0xFC, None, ord("q")]):
+        every = ["".join(w) for w in itertools.product(*(d._characters((b,), "cp1252") for b in lattice))]
+        best = max(max(weight(w)) for w in every)
+        assert abs(max(weight(d._search(lattice, "cp1252"))) - best) < 1e-9
+
+
+def test_letters_of_two_in_lower_case():
+    assert encoding.Decoder(WORDS).garbled("İzmir Ã¼ber B\ufffdrger İ\ufffd") != []
+
+
+def test_channels_are_kept_for_a_whole_text(monkeypatch):
+    # What is forgotten while a text is read must not change the channel of its line.
+    sound = "Новая дорога в городе, новая дорога"
+    d = encoding.Decoder(WORDS + [("Новая", 50)])
+    broken = "".join(next(c for c, b in encoding.READERS["cp1252"].items() if b == x) for x in sound.encode("cp1251"))
+    want = d.garbled(broken)
+    monkeypatch.setattr(encoding, "_REMEMBERED", 0)
+    again = [d.garbled(broken) for _ in range(2)]
+    assert again == [want, want] and d.remembered < 2000
+
+
 # --- leaks
 
 
