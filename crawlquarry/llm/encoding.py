@@ -275,13 +275,16 @@ class StoredWords(Words):
         self.total = self.db.execute("SELECT n FROM total").fetchone()[0]
         self.singles = dict(self.db.execute("SELECT letter, n FROM singles"))
         self.looked_up: tuple[dict, ...] = ({}, {}, {}, {})
+        self.entries = [0, 0, 0, 0]
 
     def _remembered(self, kind: int, key: str, find):
         kept = self.looked_up[kind]
         if key not in kept:
-            if len(kept) >= _LOOKED_UP // (20 if kind > 1 else 1):  # these are sets of letters
+            if self.entries[kind] >= _LOOKED_UP:
                 kept.clear()
-            kept[key] = find()
+                self.entries[kind] = 0
+            kept[key] = found = find()
+            self.entries[kind] += 1 + (len(found) if kind > 1 else 0)  # these are collections of letters
         return kept[key]
 
     def get(self, word: str, default: int | None = None) -> int | None:

@@ -215,6 +215,21 @@ def test_letters_of_two_in_lower_case():
     assert encoding.Decoder(WORDS).garbled("İzmir Ã¼ber B\ufffdrger İ\ufffd") != []
 
 
+def test_memory_does_not_grow_with_the_corpus(spark, tmp_path, monkeypatch):
+    # Words beyond the broadcast reach the workers by the file, neither as lists by page nor by a join with the texts.
+    rows = [(f"s{i}", "größer Bürger Straße") for i in range(5)] + [("bad", "K\ufffdln für")]
+    plan = encoding.garbled_pages(content(spark, rows), most_words=1)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "collect_set" not in plan
+    monkeypatch.setattr(encoding, "_REMEMBERED", 5_000)
+    monkeypatch.setattr(encoding, "_LOOKED_UP", 200)
+    encoding.store_words(spark.createDataFrame(WORDS, "word string, n long"), str(tmp_path / "w.db"))
+    whole, d = encoding.Decoder(WORDS), encoding.Decoder(encoding.StoredWords(str(tmp_path / "w.db")))
+    for i in range(600):
+        text = f"größer{i} {'Bürger'.encode().decode('cp1252')}{i} f\ufffdr{i} ürx{'abc'[i % 3]}{'é' * (i % 50)}"
+        assert d.garbled(text) == whole.garbled(text)
+        assert len(d.memo) + len(d.sound) + len(d.channel) < 200 and all(len(x) <= 201 for x in d.words.looked_up) and d.shaped < 2_000
+
+
 def test_channels_are_kept_for_a_whole_text(monkeypatch):
     # What is forgotten while a text is read must not change the channel of its line.
     sound = "Новая дорога в городе, новая дорога"
